@@ -30,7 +30,7 @@ from planeworks.llm.tokens import Encoder, default_path
 CAPACITY = 2048
 GROUP_WINDOWS = 256
 #: Share of a group's capacity that may stay empty before long pieces are halved.
-SLACK = 0.01
+SLACK = 0.02
 
 
 def differencing(sizes: np.ndarray, m: int) -> list[list[int]]:
