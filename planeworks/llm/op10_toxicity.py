@@ -154,28 +154,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(index, weights, thresholds)
 
 
+def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """P(grade > k) of each text, one column a threshold."""
+    row, code, distinct = _coded(data, offsets)
+    rows = len(offsets) - 1
+    per = [[i for i in map(model.words.get, features_of(w)) if i is not None] for w in distinct]
+    size = np.fromiter(map(len, per), np.int64, len(per))
+    total = np.zeros(rows)
+    use = np.flatnonzero(size[code]) if len(code) else code
+    if len(use):
+        flat, at = np.array([i for x in per for i in x], np.int64), np.cumsum(size) - size
+        own = size[code[use]]
+        place = np.repeat(at[code[use]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        width = len(model.words)
+        pair, n = np.unique(np.repeat(row[use], own) * width + flat[place], return_counts=True)
+        r = pair // width
+        cols, values = values_of(pair % width, n, np.bincount(row, minlength=rows)[r], width)
+        total = np.bincount(np.tile(r, 2), model.weights[cols] * values, rows)
+    return model.chances(total)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """doc_id, severity (expected grade), grade (the most likely), p_toxic, toxic (p_toxic >= reject)."""
 
     def make():
         def step(keys: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict:
-            row, code, distinct = _coded(data, offsets)
-            rows = len(offsets) - 1
-            per = [[i for i in map(model.words.get, features_of(w)) if i is not None] for w in distinct]
-            size = np.fromiter(map(len, per), np.int64, len(per))
-            total = np.zeros(rows)
-            use = np.flatnonzero(size[code]) if len(code) else code
-            if len(use):
-                flat, at = np.array([i for x in per for i in x], np.int64), np.cumsum(size) - size
-                own = size[code[use]]
-                place = np.repeat(at[code[use]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                width = len(model.words)
-                pair, n = np.unique(np.repeat(row[use], own) * width + flat[place], return_counts=True)
-                r = pair // width
-                cols, values = values_of(pair % width, n, np.bincount(row, minlength=rows)[r], width)
-                total = np.bincount(np.tile(r, 2), model.weights[cols] * values, rows)
-            p = model.chances(total)
-            each = np.concatenate([np.ones((rows, 1)), p], axis=1) - np.concatenate([p, np.zeros((rows, 1))], axis=1)
+            p = _scores(model, data, offsets)
+            one, none = np.ones((len(p), 1)), np.zeros((len(p), 1))
+            each = np.concatenate([one, p], axis=1) - np.concatenate([p, none], axis=1)
             return {"doc_id": keys, "severity": pa.array(p.sum(axis=1).round(6)), "grade": pa.array(each.argmax(axis=1).astype(np.int32)), "p_toxic": pa.array(p[:, 0].round(6)), "toxic": pa.array(p[:, 0] >= reject)}
 
         return step
@@ -183,6 +189,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_slices(id_text(docs, id_col, text_col), make, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of docs, all columns, whose text isn't rejected. Per row; nothing is shuffled."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], names=["row", "text"])
+            keep = [_scores(model, data, offsets)[:, 0] < reject for _, data, offsets in slices(iter([pairs]))]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -224,6 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(member.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, but those of documents that aren't their component's least doc_id. Rows that share
+    a doc_id are one document; rows without one stay."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

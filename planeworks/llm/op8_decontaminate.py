@@ -44,9 +44,13 @@ def _bounded(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def key_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("-")), docs[text_col])
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (of equal rows), words."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col)).alias("key"), words(F.col(text_col)).alias("words"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(docs, id_col, text_col).alias("key"), words(F.col(text_col)).alias("words"))
 
 
 def seeds_of(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,6 +133,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return every.join(hits, "key", "left").select("doc_id", "key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", zero).alias("n_near"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, without an exact phrase match."""
+    hit = decontaminate(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
+    return docs.join(hit, key_of(docs, id_col, text_col) == hit["__hit"], "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planeworks.llm.op8_decontaminate import key_of
 from planeworks.llm.text import shared_dir
 
 SCOPE = 200
@@ -53,17 +54,17 @@ def _pieces(text: Column, kind: str, order: int, pattern: str) -> Column:
 
 
 def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """row, doc_id, kind (order), start, end: every strong or weak part; a text without any has one row of nulls. The
+    """row, key (of equal rows), doc_id, kind (order), start, end: every strong or weak part; a text without any has one row of nulls. The
     table is written to the shared folder, which fixes the row numbers."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.select("row", "doc_id", F.explode_outer(F.concat(*[_pieces(text, kind, order, pattern) for kind, order, pattern, _, _ in KINDS])).alias("p")).select("row", "doc_id", "p.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of(docs, id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = rows.select("row", "key", "doc_id", F.explode_outer(F.concat(*[_pieces(text, kind, order, pattern) for kind, order, pattern, _, _ in KINDS])).alias("p")).select("row", "key", "doc_id", "p.*")
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
-    placed = found.select("row", "doc_id", "kind", (end - F.col("size")).cast("int").alias("start"), end.cast("int").alias("end"), "keep")
+    placed = found.select("row", "key", "doc_id", "kind", (end - F.col("size")).cast("int").alias("start"), end.cast("int").alias("end"), "keep")
     # a match that fails leaves its text's row in place
-    kept = placed.select("row", "doc_id", *[F.when(F.coalesce("keep", F.lit(False)), F.col(c)).alias(c) for c in ("kind", "start", "end")])
+    kept = placed.select("row", "key", "doc_id", *[F.when(F.coalesce("keep", F.lit(False)), F.col(c)).alias(c) for c in ("kind", "start", "end")])
     folder = folder or shared_dir(spark, "credential-parts")
     kept.write.parquet(folder)
     return spark.read.parquet(folder)
@@ -88,12 +89,12 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, folder: str | None = None) -> DataFrame:
-    """row, doc_id, spans: array of (start, kind order, end, kind), by start and then kind."""
+    """row, key, doc_id, spans: array of (start, kind order, end), by start and then kind."""
     parts = parts_of(docs, id_col, text_col, folder)
     found = linked(parts, scope).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"))
-    rows = parts.select("row", "doc_id").distinct()
+    rows = parts.select("row", "key", "doc_id").distinct()
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(found, "row", "left").select("row", "doc_id", F.coalesce("spans", none).alias("spans"))
+    return rows.join(found, "row", "left").select("row", "key", "doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -107,5 +108,23 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
+    """All rows and columns of docs; each maximal stretch of overlapping spans is replaced by `mask`, and the column of
+    text lengths, if there is one, follows. Texts without spans are as they were."""
+    found = scan_secrets(docs, id_col, text_col, scope).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("__spans")).withColumnRenamed("key", "__key")
+    joined = docs.join(found, key_of(docs, id_col, text_col) == found["__key"], "left")
+    text = docs[text_col]
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)).alias("out"))
+        return F.when(x["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
+
+    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    new = F.when(F.col("__spans").isNotNull(), masked).otherwise(text)
+    out = [new.alias(c) if c == text_col else F.when(F.col("__spans").isNotNull(), F.char_length(masked).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == chars_col else docs[c] for c in docs.columns]
+    return joined.select(*out)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
