@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from planeworks.plans import boxes, pixels, records
+
+_PARTS = (pixels, boxes, records)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
