@@ -44,7 +44,8 @@ def local_scan(stored: DataFrame, config: K.LocalConfig = K.LocalConfig()) -> Da
         found, omitted, unresolved = K.local_scan(raw, x0, y0, config)
         base = {"plane_id": group["plane_id"].iloc[0], "grid_index": group["grid_index"].iloc[0], "omitted": omitted, "unresolved": unresolved, "quality_decision": None}
         rows = [{**base, "kind": c["kind"], "axis": c.get("axis"), **dict(zip(("x0", "y0", "x1", "y1"), c["box"], strict=True)), "width": c["width"], "contrast": c["contrast"], "boundary": c.get("boundary"), "support": c.get("support"), "zero_fraction": c.get("zero_fraction")} for c in found] or [base]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in LOCAL.split(", ")])
+        names = [f.split()[0] for f in LOCAL.split(", ")]
+        return pd.DataFrame([{**dict.fromkeys(names), **r} for r in rows], columns=names, dtype=object)
 
     return joined.groupBy("plane_id", "grid_index").applyInPandas(scan, LOCAL)
 
@@ -55,7 +56,7 @@ def per_plane(tiles: DataFrame, work: Callable[[np.ndarray], list[dict]], schema
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = work(assemble(group))
-        return pd.DataFrame([{"plane_id": group["plane_id"].iloc[0], **r} for r in rows], columns=["plane_id", *names])
+        return pd.DataFrame([{"plane_id": group["plane_id"].iloc[0], **r} for r in rows], columns=["plane_id", *names], dtype=object)
 
     return tiles.groupBy("plane_id").applyInPandas(run, f"plane_id string, {schema}")
 

@@ -203,9 +203,10 @@ def closing_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.closing(P.hourly(spark, sf_dir).select("pos", F.when(F.col("value") >= 50, 1).otherwise(0).alias("mark")), 2)
 
 
-@query(f"""WITH {V} SELECT pos, count(value) OVER w AS k_n, CASE WHEN count(value) OVER w >= 0.8 * 24 THEN round(avg(value) OVER w, 6) END AS k_mean FROM sig WINDOW w AS (ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)""")
+@query(f"""WITH {V} SELECT pos, count(value) OVER w AS k_n, CASE WHEN count(value) OVER w >= 0.8 * 24 THEN round(avg(value) OVER w + 1e-9, 6) END AS k_mean FROM sig WINDOW w AS (ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)""")
 def sliding_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(W.sliding_support(P.hourly(spark, sf_dir), 24).select("pos", "k_n", "k_mean"), "k_mean")
+    out = W.sliding_support(P.hourly(spark, sf_dir), 24).select("pos", "k_n", (F.col("k_mean") + 1e-9).alias("k_mean"))  # off the ties of rounding
+    return rounded(out, "k_mean")
 
 
 @query(f"""WITH {E}, ir AS (SELECT y, x, sum(v) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS i, count(*) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS n, sum(v) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS o FROM e),
