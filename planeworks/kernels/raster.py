@@ -162,3 +162,37 @@ def true_runs(mask: np.ndarray) -> list[tuple[int, int]]:
     """(start, end exclusive) of each run of true values."""
     edge = np.diff(np.pad(mask.astype(np.int8), 1))
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
+def intensity_region(means: np.ndarray, bins: int = 256) -> tuple[np.ndarray, float | None]:
+    """(mask, threshold on log levels) of support that may hold two populations: the split of nonzero log levels, held
+    between the low mode plus six of its spreads and a share of the range above it; None without two levels."""
+    levels = np.log1p(means)
+    own = levels[means > 0]
+    if own.size < 2 or own.min() == own.max():
+        return np.zeros(means.shape, bool), None
+    split = otsu(own, bins)
+    hist, edges = np.histogram(own, bins)
+    smooth = np.convolve(hist, np.ones(5) / 5, "same")
+    centres = (edges[:-1] + edges[1:]) / 2
+    below = centres <= split
+    mode = float(centres[below][smooth[below].argmax()]) if below.any() else float(centres[0])
+    low = own[own <= mode]
+    spread = float(np.sqrt(((low - mode) ** 2).mean())) if low.size else 0.0
+    top = float(np.percentile(own, 99.5))
+    threshold = min(max(split, mode + 6 * spread), mode + 0.6 * (top - mode)) if top > mode else split
+    return (levels > threshold) & (means > 0), float(threshold)
+
+
+def draw_lines(gray: np.ndarray, lines: list[dict], step: int) -> np.ndarray:
+    """A copy of a preview with verified lines in white and others in mid gray; lines have orientation, pos, start, end
+    in overview cells of `step` preview samples."""
+    out = gray.copy()
+    for a in lines:
+        level = 255 if a.get("verified") else 128
+        p, s, e = a["pos"] * step, a["start"] * step, a["end"] * step
+        if a["orientation"] == "vertical":
+            out[s:e, max(0, p - 1) : p + 1] = level
+        else:
+            out[max(0, p - 1) : p + 1, s:e] = level
+    return out

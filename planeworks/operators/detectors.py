@@ -68,9 +68,9 @@ def axial_screen(tiles: DataFrame) -> DataFrame:
 def alternating_bands(tiles: DataFrame, config: K.BandConfig = K.BandConfig()) -> DataFrame:
     def work(plane: np.ndarray) -> list[dict]:
         bands, truncated, _ = K.band_proposals(plane, config)
-        return [{"band": i, **b, "truncated": truncated} for i, b in enumerate(bands)]
+        return [{"band": i, **K.verify_band(plane, b), "truncated": truncated} for i, b in enumerate(bands)]
 
-    return per_plane(tiles, work, "band int, angle double, width int, score double, normal double, s0 double, s1 double, truncated boolean")
+    return per_plane(tiles, work, "band int, angle double, width int, score double, normal double, s0 double, s1 double, status string, support double, drop double, zero_fraction double, slope_deg double, truncated boolean")
 
 
 def band_pairs(tiles: DataFrame, config: K.BandConfig = K.BandConfig()) -> DataFrame:
@@ -123,3 +123,24 @@ def tiles_of(pixels: DataFrame, size: int = 1024) -> DataFrame:
     return keyed.groupBy("plane_id", "ty", "tx").applyInPandas(build, TILE_SCHEMA)
 
 
+
+
+def local_violations(candidates: DataFrame, recorded: DataFrame, planned: DataFrame) -> DataFrame:
+    """grid_index, violation where a local scan's record disagrees with its plan: tiles missing, unplanned or moved,
+    candidates outside their tile or of no tile, counts that don't add up. recorded: grid_index, x0, y0, x1, y1,
+    candidates; planned: grid_index, x0, y0, x1, y1. An intact record gives no rows."""
+    sides = ("x0", "y0", "x1", "y1")
+    want = planned.select("grid_index", *[F.col(c).alias(f"p_{c}") for c in sides], F.lit(True).alias("planned"))
+    have = recorded.select("grid_index", *sides, "candidates", F.lit(True).alias("recorded"))
+    both = want.join(have, "grid_index", "full_outer")
+    moved = F.lit(False)
+    for c in sides:
+        moved = moved | ~F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    tiles = both.select("grid_index", F.when(F.col("recorded").isNull(), "tile_missing").when(F.col("planned").isNull(), "tile_unplanned").when(moved, "tile_moved").alias("violation")).where("violation is not null")
+    own = candidates.select("grid_index", *[F.col(c).alias(f"c_{c}") for c in sides])
+    met = own.join(have, "grid_index", "left")
+    outside = (F.col("c_x0") < F.col("x0")) | (F.col("c_y0") < F.col("y0")) | (F.col("c_x1") > F.col("x1")) | (F.col("c_y1") > F.col("y1"))
+    stray = met.select("grid_index", F.when(F.col("recorded").isNull(), "candidate_without_tile").when(outside, "candidate_outside_tile").alias("violation")).where("violation is not null").distinct()
+    n = own.groupBy("grid_index").agg(F.count(F.lit(1)).alias("n"))
+    counts = have.join(n, "grid_index", "left").where(F.col("candidates") != F.coalesce("n", F.lit(0))).select("grid_index", F.lit("count_differs").alias("violation"))
+    return tiles.unionByName(stray).unionByName(counts)

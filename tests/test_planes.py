@@ -116,6 +116,10 @@ def test_bands(angle):
     bands, _, _ = K.band_proposals(plane, K.BandConfig(angles=(0, 15, 90), widths=(16,)))
     pairs = K.band_pairs(bands)
     assert len(pairs) == 1 and abs(pairs[0]["spacing"] - 400) <= 10
+    for b in bands:
+        v = K.verify_band(plane, b)
+        assert v["status"] == "verified" and v["zero_fraction"] > 0.9 and abs(v["slope_deg"]) < 0.5
+    assert K.verify_band(np.full((1200, 1200), 4000, np.uint16), bands[0])["status"] == "unverified"
 
 
 def test_core():
@@ -164,3 +168,29 @@ def test_greedy_lines_are_the_loop(spark):
         assert got[i][0] is (not hit)
         if not hit:
             kept.append((k, i, p, s, e))
+
+
+def test_fragments_join():
+    y, x = np.mgrid[:512, :512]
+    plane = np.full((512, 512), 50, np.uint16)
+    disk = (y - 256) ** 2 + (x - 256) ** 2 < 130**2
+    plane[disk & (np.abs(x - 256) > 12)] = 1500
+    found = K.core_proposal(plane)
+    assert found["objects"] == 1 and found["state"] == "proposed"
+
+
+def test_local_record_is_checked(spark):
+    sides = "grid_index long, x0 long, y0 long, x1 long, y1 long"
+    planned = spark.createDataFrame([(0, 0, 0, 9, 9), (1, 5, 0, 14, 9), (2, 9, 0, 18, 9)], sides)
+    good = spark.createDataFrame([(0, 0, 0, 9, 9, 1), (1, 5, 0, 14, 9, 0), (2, 9, 0, 18, 9, 0)], sides + ", candidates long")
+    one = spark.createDataFrame([(0, 1, 1, 3, 3)], sides)
+    assert D.local_violations(one, good, planned).count() == 0
+    bad = spark.createDataFrame([(0, 0, 0, 9, 9, 2), (1, 6, 0, 14, 9, 0), (7, 0, 0, 1, 1, 0)], sides + ", candidates long")
+    moved = spark.createDataFrame([(0, 1, 1, 30, 3), (9, 0, 0, 1, 1)], sides)
+    got = {(r.grid_index, r.violation) for r in D.local_violations(moved, bad, planned).collect()}
+    assert got == {(0, "count_differs"), (0, "candidate_outside_tile"), (1, "tile_moved"), (2, "tile_missing"), (7, "tile_unplanned"), (9, "candidate_without_tile")}
+
+
+def test_overlay():
+    out = R.draw_lines(np.zeros((40, 40), np.uint8), [{"orientation": "vertical", "pos": 2, "start": 0, "end": 5, "verified": True}, {"orientation": "horizontal", "pos": 3, "start": 1, "end": 2}], 8)
+    assert out[10, 15] == 255 and out[23, 8] == 128 and out[0, 0] == 0

@@ -95,3 +95,19 @@ def test_mounts(spark):
 
 def test_registry(spark):
     assert registry.methods(spark).where("implemented").count() == 12
+
+
+def test_profiles(spark):
+    from planeworks.functions import profiles as N
+
+    good = {
+        "schema": "s", "node_id": 0, "node_count": 2, "paths": {**dict.fromkeys(N.PATHS), "source_root": "/data"}, "execution": {"active_sessions_per_node": 1, "cpu_threads_per_process": 1},
+        "review_budget": {"max_views": 16, "max_display_dimension": 1024, "max_raw_crop_pixels": 4194304}, "inference": {**dict.fromkeys(N.TEXTS), "request_timeout_seconds": 120, "max_attempts": 2},
+    }
+    changes = [({}, []), ({"node_id": 2}, ["node"]), ({"extra": 1}, ["fields"]), ({"paths": {**good["paths"], "local_work_root": "x"}}, ["relative_path"]), ({"paths": {}}, ["path_fields"]), ({"execution": {"active_sessions_per_node": 2, "cpu_threads_per_process": 1}}, ["execution"])]
+    changes += [({"review_budget": {**good["review_budget"], "max_views": 65}}, ["budget"]), ({"inference": {**good["inference"], "max_attempts": 4, "prompt_sha256": "zz"}}, ["inference_limits", "prompt_sha256"]), ({"inference": {**good["inference"], "model_id": " "}}, ["inference_text"])]
+    rows = spark.createDataFrame([(i, json.dumps({**good, **c})) for i, (c, _) in enumerate(changes)] + [(99, "not json")], "i int, j string")
+    got = {r.i: r.why for r in rows.select("i", N.profile_reasons(F.col("j")).alias("why")).collect()}
+    assert all(got[i] == want for i, (_, want) in enumerate(changes)) and "fields" in got[99]
+    r = spark.range(1).select(N.blockers(F.lit("ext4"), F.lit("nfs4"), F.lit("/a"), F.lit("/a/b")).alias("b"), N.blockers(F.lit("ext4"), F.lit("xfs"), F.lit("/a"), F.lit("/b")).alias("ok")).first()
+    assert r.b == ["work_not_local", "nested_paths"] and r.ok == []
