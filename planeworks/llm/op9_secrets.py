@@ -128,3 +128,25 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _oracle() -> str:
+    """DuckDB SQL of the same spans. Its patterns have no look-around: weak parts are whole runs filtered by length."""
+    kinds = [
+        ("assign", 0, "secret", ASSIGN.replace("'", "''"), f"len(regexp_extract(m, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= {ASSIGN_LEAST}"), ("access", 1, "id", "AKIA[A-Z0-9]+", "len(m) >= 20"), ("hex", 2, "secret", HEX, "true"),
+        ("weak-access", 3, "id", "AKIA[A-Z0-9]+", "len(m) BETWEEN 12 AND 19"), ("weak-hex", 4, "secret", "[0-9a-f]{16,}", "len(m) < 24"), ("endpoint", 5, "endpoint", ENDPOINT, "true"),
+    ]
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, '{name}' AS kind, {k} AS k, '{part}' AS part, {str(k < 3).lower()} AS strong, a AS start, b AS \"end\" FROM (SELECT doc_id, m, b - len(m) AS a, b FROM (SELECT doc_id, m, i, sum(len(g) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM "
+        f"(SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}', 0)) AS m, unnest(string_split_regex(t, '{pattern}')[1 : -2]) AS g, unnest(range(len(regexp_extract_all(t, '{pattern}', 0)))) AS i FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {keep}"
+        for name, k, part, pattern, keep in kinds
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({each}),
+s AS (SELECT doc_id, kind, k, start, "end" FROM p WHERE strong OR EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.part <> p.part AND q.start <= p."end" + {SCOPE} AND q."end" >= p.start - {SCOPE})),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h, string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST("end" AS BIGINT)), ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST("end" AS BIGINT)), ',' ORDER BY start, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
