@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
             return out
 
         held: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
-        for part, data, offsets in slices(batches, 24 << 20):
+        for part, data, offsets in slices(batches, 16 << 20):
             ids, at = encoder.encode(data, offsets)
             keys = part.column(0)
             if held is not None:
