@@ -78,19 +78,21 @@ def region_intensity(pixels: DataFrame, labels: DataFrame, step: int, regions: d
     return out.withColumn("mean", F.col("total") / F.col("pixels"))
 
 
-def parallel_pairs(bands: DataFrame, key: str, angle: float = 3.0, overlap: float = 0.5, spread: int = 100) -> DataFrame:
+def parallel_pairs(bands: DataFrame, key: str, angle: float = 3.0, overlap: float = 0.5) -> DataFrame:
     """a, b, spacing: pairs (a < b) within a key with near angles, overlapping spans and a spacing over the sum of the
-    widths, at most `spread`. bands: key, id, angle, s0, s1, normal, width. Offsets are dealt into cells of `spread`, so
-    only neighbours in space meet."""
-    a = bands.withColumn("cell", F.floor(F.col("normal") / spread))
-    b = bands.withColumn("cell", F.explode(F.array(*[F.floor(F.col("normal") / spread) + d for d in (-1, 0, 1)])))
+    widths, however far apart. bands: key, id, angle, s0, s1, normal, width. Angles are dealt into cells wider than
+    `angle` around the half turn, so only bands of neighbouring cells meet."""
+    n = max(1, int(180 / max(angle, 1)) - 1)
+    cell = F.least(F.lit(n - 1), F.floor(F.pmod(F.col("angle"), F.lit(180.0)) * n / 180))
+    a = bands.withColumn("cell", cell)
+    b = bands.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell + d, F.lit(n)) for d in (-1, 0, 1)]))))
     left, right = a.alias("l"), b.alias("r")
     spacing = F.abs(F.col("l.normal") - F.col("r.normal"))
     rule = (
         (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id"))
         & (B.angle_distance(F.col("l.angle"), F.col("r.angle")) <= angle)
         & (B.overlap_fraction(F.col("l.s0"), F.col("l.s1"), F.col("r.s0"), F.col("r.s1")) >= overlap)
-        & (spacing > F.col("l.width") + F.col("r.width")) & (spacing <= spread)
+        & (spacing > F.col("l.width") + F.col("r.width"))
     )
     return left.join(right, rule).select(F.col(f"l.{key}"), F.col("l.id").alias("a"), F.col("r.id").alias("b"), spacing.alias("spacing"))
 
