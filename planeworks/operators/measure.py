@@ -24,7 +24,7 @@ class BrightnessConfig:
     foreground: str = "hysteresis"  # or "all"
     erosion: int = 0
     coverage: float = 0.15
-    windows: tuple[int, ...] = (64, 256)
+    windows: tuple[int, ...] = (32, 128, 512)
     period: int | None = None
     phase_bins: int = 24
     factors: tuple[float, ...] = (0.71, 0.83, 1.19, 1.37)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeworks.kernels.detect import BandConfig, LocalConfig
 from planeworks.operators import detectors as D
 from planeworks.sources import planes as P
 
@@ -36,13 +35,13 @@ def axial_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = P.synthetic(spark, 512, 512, F.when(_between("y", 200, 280) & _between("x", 180, 260), 0).otherwise(1000), "hole")
-    return D.local_scan(D.tiles_of(plane, 256), LocalConfig(tile=512, stride=384))
+    return D.local_scan(D.tiles_of(plane, 256))
 
 
 @query()
 def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = P.synthetic(spark, 1000, 1000, F.when(_between("y", 290, 306) | _between("y", 690, 706), 0).otherwise(4000), "bands")
-    return D.band_pairs(D.tiles_of(plane, 512), BandConfig(angles=(0, 90), widths=(16,)))
+    return D.band_pairs(D.tiles_of(plane, 512))
 
 
 @query()
