@@ -47,7 +47,7 @@ plan AS (SELECT p_partkey, iy * nx + ix AS grid_index, least(ix * 192, lx) AS x0
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    shapes = P.table(spark, sf_dir, "part").where("p_size <= 5").select("p_partkey", (300 + k * 37 % 900).alias("height"), (200 + k * 53 % 1100).alias("width"))
+    shapes = P.table(spark, sf_dir, "part").select("p_partkey", (300 + k * 37 % 900).alias("height"), (200 + k * 53 % 1100).alias("width"))
     return X.tile_plan(shapes, 256, 192, "p_partkey")
 
 

@@ -17,10 +17,13 @@ def duck(small):
     return con
 
 
-def same_as_whole_sql(spark, duck, small, name, cut, whole=""):
-    """The query against the registered SQL with every `cut` in it replaced by `whole`."""
-    assert cut in plans.ORACLES[name]
-    want = duck.sql(plans.ORACLES[name].replace(cut, whole))
+def same_as_whole_sql(spark, duck, small, name, *cuts):
+    """The query against the registered SQL with every one of `cuts` taken out."""
+    sql = plans.ORACLES[name]
+    for cut in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, "")
+    want = duck.sql(sql)
     got = plans.QUERIES[name](spark, small).select(*want.columns).collect()
     assert ordered(got) == ordered(want.fetchall())
 
@@ -43,3 +46,10 @@ def test_pairs_have_no_upper_spacing(spark):
 @pytest.mark.parametrize("name", ["parallel_pairs", "straight_pairs"])
 def test_pair_queries_are_whole(spark, duck, small, name):
     same_as_whole_sql(spark, duck, small, name, " AND abs(a.normal - b.normal) <= 100")
+
+
+@pytest.mark.parametrize("name", ["tile_plan", "tile_plan_budget"])
+def test_every_part_is_planned(spark, duck, small, name):
+    parts = duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
+    assert plans.QUERIES[name](spark, small).select("p_partkey").distinct().count() == parts
+    same_as_whole_sql(spark, duck, small, name, " WHERE p_size <= 5")
