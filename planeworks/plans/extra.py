@@ -59,7 +59,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BX}, m AS (SELECT grp, box_id AS id, (x1 - x0) AS score, CASE WHEN box_id % 2 = 0 THEN 0 ELSE 1 END AS k FROM bx WHERE box_id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, k, id) AS rank FROM m) SELECT grp, id, score, CAST(k AS INTEGER) AS kind_order, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND grp % 7 <> 0")
 def merged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = P.boxes(spark, sf_dir).where("box_id % 3 <> 0 AND grp % 7 <> 0").select("grp", F.col("box_id").alias("id"), (F.col("x1") - F.col("x0")).alias("score"))
+    sized = P.boxes(spark, sf_dir).select("grp", F.col("box_id").alias("id"), (F.col("x1") - F.col("x0")).alias("score"))
     return S.merge_topk([sized.where("id % 2 = 0"), sized.where("id % 2 <> 0")], 5, "score", "grp").select("grp", "id", "score", "kind_order", "rank")
 
 

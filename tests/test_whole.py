@@ -53,3 +53,7 @@ def test_every_part_is_planned(spark, duck, small, name):
     parts = duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
     assert plans.QUERIES[name](spark, small).select("p_partkey").distinct().count() == parts
     same_as_whole_sql(spark, duck, small, name, " WHERE p_size <= 5")
+
+
+def test_every_box_is_ranked(spark, duck, small):
+    same_as_whole_sql(spark, duck, small, "merged_topk", " WHERE box_id % 3 <> 0", " AND grp % 7 <> 0")
