@@ -129,9 +129,11 @@ def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E}, l AS (SELECT cy, cx, CAST((cy * 5 + cx * 3) % 5 AS INTEGER) AS code FROM range(2000) a(cy), range(8) b(cx)), r AS (SELECT unnest([{{'region': 'core', 'code': 1}}, {{'region': 'support', 'code': 1}}, {{'region': 'support', 'code': 2}}, {{'region': 'near', 'code': 3}}, {{'region': 'near', 'code': 4}}], recursive := true))
 SELECT region, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (v = 0) AS zero_pixels, round(avg(v), 6) AS mean FROM e JOIN l ON y // 8 = cy AND x // 8 = cx JOIN r USING (code) GROUP BY region""")
 def region_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.range(16000).select(F.expr("id div 8").alias("cy"), (F.col("id") % 8).alias("cx"))
+    e = P.embedding_plane(spark, sf_dir)
+    rows = e.agg(F.max("y").alias("last")).select(F.explode(F.expr("sequence(0L, last div 8)")).alias("cy"))  # every cell row of the plane
+    cells = rows.withColumn("cx", F.explode(F.expr("sequence(0L, 7L)")))
     grid = cells.withColumn("code", ((F.col("cy") * 5 + F.col("cx") * 3) % 5).cast("int"))
-    out = X.region_intensity(P.embedding_plane(spark, sf_dir), grid, 8, {"core": [1], "support": [1, 2], "near": [3, 4]})
+    out = X.region_intensity(e, grid, 8, {"core": [1], "support": [1, 2], "near": [3, 4]})
     return rounded(out, "mean")
 
 

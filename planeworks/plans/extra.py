@@ -67,7 +67,9 @@ def merged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     rx, ry = G.rotate_point(x, y, F.lit(30.0), F.lit(10), F.lit(20))
-    out = P.embedding_plane(spark, sf_dir).select("y", "x", B.in_central_ellipse(x, y, F.lit(64), F.lit(500), 8).alias("central"), rx.alias("rx"), ry.alias("ry"))
+    e = P.embedding_plane(spark, sf_dir)
+    framed = e.join(F.broadcast(e.agg((F.max("y") + 1).alias("h"))))  # one row
+    out = framed.select("y", "x", B.in_central_ellipse(x, y, F.lit(64), F.col("h"), 8).alias("central"), rx.alias("rx"), ry.alias("ry"))
     return rounded(out, "rx", "ry", digits=4)
 
 

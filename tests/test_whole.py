@@ -57,3 +57,14 @@ def test_every_part_is_planned(spark, duck, small, name):
 
 def test_every_box_is_ranked(spark, duck, small):
     same_as_whole_sql(spark, duck, small, "merged_topk", " WHERE box_id % 3 <> 0", " AND grp % 7 <> 0")
+
+
+def test_tall_planes_are_whole(spark, tmp_path):
+    height = 16013
+    spark.range(height).selectExpr("id AS vec_id", "array_repeat(CAST(0.5 AS FLOAT), 64) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    y, x = np.mgrid[:height, :64]
+    code = (y // 8 * 5 + x // 8 * 3) % 5
+    want = {name: int(np.isin(code, codes).sum()) for name, codes in {"core": [1], "support": [1, 2], "near": [3, 4]}.items()}
+    assert {r.region: (r.pixels, r.total) for r in plans.QUERIES["region_intensity"](spark, str(tmp_path)).collect()} == {k: (n, n * 30000) for k, n in want.items()}
+    inside = (x >= 8) & (y >= 8) & (x <= 56) & (y <= height - 8) & (((x - 32) / 32) ** 2 + ((y - height / 2) / (height / 2)) ** 2 <= 0.7**2)
+    assert plans.QUERIES["frame_points"](spark, str(tmp_path)).where("central").count() == inside.sum()
