@@ -68,13 +68,14 @@ def axial_screen(tiles: DataFrame) -> DataFrame:
 def alternating_bands(tiles: DataFrame, config: K.BandConfig = K.BandConfig()) -> DataFrame:
     def work(plane: np.ndarray) -> list[dict]:
         bands, truncated, _ = K.band_proposals(plane, config)
-        return [{"band": i, **K.verify_band(plane, b), "truncated": truncated} for i, b in enumerate(bands)]
+        return [{"band": i, **K.verify_band(plane, b, config), "truncated": truncated} for i, b in enumerate(bands)]
 
-    return per_plane(tiles, work, "band int, angle double, width int, score double, normal double, s0 double, s1 double, status string, support double, drop double, zero_fraction double, slope_deg double, truncated boolean")
+    return per_plane(tiles, work, "band int, angle double, width int, score double, normal double, s0 double, s1 double, status string, support double, drop double, zero_fraction double, slope_deg double, mean double, straight boolean, truncated boolean")
 
 
 def band_pairs(tiles: DataFrame, config: K.BandConfig = K.BandConfig()) -> DataFrame:
-    return per_plane(tiles, lambda plane: K.band_pairs(K.band_proposals(plane, config)[0]), "a int, b int, spacing double")
+    """Pairs of verified bands; a and b count them from the deepest. straight: both have straight edges."""
+    return per_plane(tiles, lambda plane: K.alternating_pairs(plane, K.verified_bands(plane, config), config), "a int, b int, spacing double, straight boolean")
 
 
 def hysteresis_mask(tiles: DataFrame, raster: int = 512) -> DataFrame:

@@ -41,3 +41,42 @@ def test_wide_region():
     plane = np.full((1024, 1024), 4000, np.uint16)
     plane[384:640, 384:640] = 0
     assert 256 in {c["width"] for c in K.dark_regions(plane)[0]}
+
+
+SMALL = K.BandConfig(angles=(0, 90), widths=(16,))
+
+
+def pairs(plane):
+    bands = K.verified_bands(plane, SMALL)
+    return bands, K.alternating_pairs(plane, bands, SMALL)
+
+
+def test_pairs_are_verified_and_brighter_between(spark):
+    good = banded(1000, 0, (-200, 16), (200, 16))
+    bands, found = pairs(good)
+    assert len(bands) == 2 and len(found) == 1 and abs(found[0]["spacing"] - 400) <= 4 and found[0]["straight"]
+    dark = good.copy()
+    dark[330:670] = 0  # as dark as the bands, but for a rim beside each
+    bands, found = pairs(dark)
+    assert len(bands) == 2 and len(K.band_pairs(bands)) == 1 and found == []
+    from planeworks.operators import detectors as D
+    from test_planes import frame
+
+    assert [D.band_pairs(frame(spark, p, 512), SMALL).count() for p in (good, dark)] == [1, 0]
+
+
+def test_pairs_keep_their_distance():
+    band = {"width": 16, "mean": 0.0, "straight": True, "angle": 0.0, "normal": 300.0, "s0": 100.0, "s1": 900.0}
+    plane = np.full((1000, 1000), 4000, np.uint16)
+    level, tilted = {**band, "normal": 400.0}, {**band, "angle": 2.9, "normal": 375.0}
+    assert len(K.alternating_pairs(plane, [band, level])) == 1
+    assert len(K.band_pairs([band, tilted])) == 1 and K.alternating_pairs(plane, [band, tilted]) == []
+
+
+def test_edges():
+    plane = banded(1000, 0, (0, 24))
+    assert K.verified_bands(plane, SMALL)[0]["straight"]
+    y, x = np.mgrid[:1000, :1000] - 499.5
+    wavy = np.where(np.abs(y) < 12 + 8 * np.sin(x / 25), 0, 4000).astype(np.uint16)
+    bands = K.verified_bands(wavy, SMALL)
+    assert bands and not bands[0]["straight"]
