@@ -7,7 +7,8 @@ sorted run; the run is merge-joined with the runs of history; candidates on eith
 against each other (`resolve_words`: equal bytes, never equal hashes alone); then the run joins the index, where two
 runs of one level are compacted into one of the next (windows.merge_runs).
 
-`Index` keeps the runs between calls in the shared folder, for later batches.
+`Index` keeps the runs between calls in the shared folder and counts a later batch's fresh and known fingerprints; it
+has no places or texts of history, so it verifies and removes nothing.
 
 Defined cases: null texts have no words; texts shorter than a window keep everything; a null doc_id counts as the
 largest; rows that share a doc_id and their place are told apart by their order in the shard, copies included; an
