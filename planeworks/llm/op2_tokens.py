@@ -1,23 +1,29 @@
 """Token-id output in a block container coded by a static range asymmetric numeral system (rANS).
 
-Texts become token ids; a shard (a range of doc_ids) counts its ids once, and all its blocks share that frequency
-table. A block is coded by many interleaved coder lanes (id i belongs to lane i mod lanes), stands alone, and carries
-checkpoints (all lane states and the place in the payload at some steps) and checksums, so that blocks, and parts of a
-block, decode in parallel.
+Texts become token ids; a row of the container (a stretch of documents of about `shard_bytes` of text) counts its ids
+once, and all its blocks share that frequency table. A block is coded by many interleaved coder lanes (id i belongs to
+lane i mod lanes), stands alone, and carries checkpoints (all lane states and the place in the payload at some steps)
+and checksums, so that rows, blocks, and the stretches between a block's checkpoints decode in parallel: reading takes
+all stretches of a block at once, as so many more lanes.
 
-Container: Parquet files with one row for each block, written by Spark, so that any file system Spark knows will do:
+Container: `data`, Parquet files with one row a stretch, written by Spark, so that any file system Spark knows will do:
 
-    shard, block           place of the block; blocks ascend with doc_id
+    shard, part            place of the row; rows ascend with doc_id
     doc_ids, doc_tokens    the documents in it and their ids' counts (the end id counted)
-    symbols, freqs         the shard's table, on its first block only (uint16/uint32 little endian)
-    lanes, n_tokens        of the block
-    states                 final coder states, uint64 each
-    checkpoints            per `checkpoint_every` steps: position in the payload (uint64) and the lanes' states (uint64)
-    payload                32-bit words
-    payload_crc32, ids_crc32   checksums of the payload, and of the ids as little-endian uint32
+    n_tokens, ids_crc32    all ids of the row; of the ids as little-endian uint32
+    symbols, freqs         the row's table (uint32 little endian)
+    blocks                 of at most block_tokens ids each, in order:
+        lanes, n_tokens
+        states             final coder states, uint64 each
+        checkpoints        per `checkpoint_every` steps: position in the payload (uint64) and the lanes' states (uint64)
+        payload            32-bit words
+        payload_crc32      of the payload
+
+and `starts`, (shard, part, start): the ids before each row, summed from the counts alone once `data` is written.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is kept and sorts first; repeated rows stay
-repeated rows; an empty table gives an empty container. A document is never split, so a block may exceed its target.
+repeated rows; an empty table gives an empty container. A document is never split over rows, so that a row holds one
+document's ids at least, however long; blocks may begin within a document.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planeworks.llm.text import id_text, shared_dir, slices, text_bytes
+from planeworks.llm.text import bounded, id_text, shared_dir, text_bytes
 from planeworks.llm.tokens import Encoder, default_path
 
 #: log2 of the table's total; at least as many slots as there are ids.
@@ -38,21 +44,22 @@ SCALE = 20
 LANES = 2048
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_EVERY = 128
-#: Bytes of text in a shard: bounds what one task holds.
-SHARD_BYTES = 24 << 20
+#: Bytes of text in a row, and in a task's range of documents: what a task holds follows from the first.
+SHARD_BYTES = 8 << 20
+RANGE_BYTES = 24 << 20
+#: Rows of `starts` (24 bytes each) that are broadcast at most; beyond that the rows' digests are joined with them.
+BROADCAST_ROWS = 500_000
 _LOW = np.uint64(1 << 31)
 
-SCHEMA = (
-    "shard int, block int, doc_ids array<long>, doc_tokens array<int>, symbols binary, freqs binary, lanes int, n_tokens long, states binary, "
-    "checkpoints binary, payload binary, payload_crc32 long, ids_crc32 long"
-)
+BLOCK = "struct<lanes: int, n_tokens: long, states: binary, checkpoints: binary, payload: binary, payload_crc32: long>"
+SCHEMA = f"shard int, part int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, ids_crc32 long, symbols binary, freqs binary, blocks array<{BLOCK}>"
 
 
 def table_of(counts: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies that sum to 2**scale, each at least 1) of ids' counts."""
     symbols = np.flatnonzero(counts)
     if len(symbols) == 0:
-        return symbols.astype(np.uint16), np.zeros(0, np.uint32)
+        return symbols.astype(np.uint32), np.zeros(0, np.uint32)
     total, room = int(counts.sum()), (1 << scale) - len(symbols)
     if room < 0:
         raise ValueError("more distinct ids than table slots")
@@ -60,7 +67,7 @@ def table_of(counts: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.nda
     freqs = np.floor(share).astype(np.int64)
     rest = room - int(freqs.sum())
     freqs[np.lexsort((symbols, freqs - share))[:rest]] += 1
-    return symbols.astype(np.uint16), (freqs + 1).astype(np.uint32)
+    return symbols.astype(np.uint32), (freqs + 1).astype(np.uint32)
 
 
 class Coder:
@@ -73,7 +80,7 @@ class Coder:
         self.freq, self.base = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.freq[symbols] = freqs
         self.base[symbols] = np.cumsum(freqs) - freqs
-        self.slot = np.repeat(symbols.astype(np.uint16), freqs)
+        self.slot = np.repeat(symbols.astype(np.uint16 if size <= 1 << 16 else np.uint32), freqs)
 
     def encode(self, ids: np.ndarray, lanes: int, every: int = CHECKPOINT_EVERY) -> tuple[np.ndarray, np.ndarray, bytes]:
         """(payload words, states at the start of decoding, checkpoints)."""
@@ -101,23 +108,35 @@ class Coder:
         points = b"".join(np.uint64(at[t]).tobytes() + s.tobytes() for t, s in reversed(marks))
         return (np.concatenate(words) if words else np.zeros(0, np.uint32)), state, points
 
-    def decode(self, words: np.ndarray, state: np.ndarray, n: int, start: int = 0, position: int = 0) -> np.ndarray:
-        """ids from step `start` on, whose states and payload position a checkpoint gives."""
+    def decode(self, words: np.ndarray, state: np.ndarray, n: int, points: bytes = b"", every: int = CHECKPOINT_EVERY) -> np.ndarray:
+        """The n ids. Each stretch of `every` steps begins with the states and the place that its checkpoint gives; all
+        stretches take a step at once."""
         lanes = len(state)
-        state = state.copy()
-        out = np.empty(max(0, n - start * lanes), np.uint16)
+        marks = [(0, state), *checkpoint_states(points, lanes)]
+        position = np.array([m[0] for m in marks], np.int64)
+        state = np.concatenate([m[1] for m in marks])
+        last = (len(marks) - 1) * every * lanes  # ids before the last stretch
+        steps = every if len(marks) > 1 else -(-n // lanes)
+        out = np.empty((len(marks), steps * lanes), self.slot.dtype)
+        bounds = np.arange(len(marks) + 1) * lanes
         shift = np.uint64(32)
-        for i in range(0, len(out), lanes):
-            x = state[: min(lanes, len(out) - i)]
+        for t in range(steps):
+            own = max(0, min(lanes, n - last - t * lanes))  # lanes of the last stretch that are at work
+            x = state[: len(state) - lanes + own]
             slot = x & self.mask
             ids = self.slot[slot]
-            out[i : i + len(x)] = ids
+            step = out[:, t * lanes : (t + 1) * lanes]
+            step[:-1] = ids[: len(state) - lanes].reshape(-1, lanes)
+            step[-1, :own] = ids[len(state) - lanes :]
             x = self.freq[ids] * (x >> self.scale) + slot - self.base[ids]
             need = np.flatnonzero(x < _LOW)
-            x[need] = (x[need] << shift) | words[position : position + len(need)]
-            position += len(need)
+            before = np.searchsorted(need, bounds)
+            count = np.diff(before)
+            place = np.repeat(position - before[:-1], count) + np.arange(len(need))
+            x[need] = (x[need] << shift) | words[place]
+            position += count
             state[: len(x)] = x
-        return out
+        return out.ravel()[:n]
 
 
 def checkpoint_states(points: bytes, lanes: int) -> list[tuple[int, np.ndarray]]:
@@ -127,117 +146,134 @@ def checkpoint_states(points: bytes, lanes: int) -> list[tuple[int, np.ndarray]]
 
 
 def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (uint16 little endian; the end id last), in the input's partitions."""
+    """doc_id, n_tokens, ids (uint32 little endian; the end id last), in the input's partitions."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for part, data, offsets in slices(batches):
-            ids, at = encoder.encode(data, offsets)
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 2), pa.py_buffer(ids.astype("<u2"))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), raw.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for keys, ids, at in Encoder.of(path).parts(batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at)), _runs(ids.astype("<u4"), at)], names=["doc_id", "n_tokens", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def encode_container(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES, block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows of the container, in ascending doc_id order by (shard, block). Ranges of doc_id are dealt out, so that a
-    hot source is spread; the texts cross one exchange, and the range bounds are sampled from the scan alone."""
+def _runs(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The runs ids[at[k]:at[k + 1]] (uint32) as binary values."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def encode_container(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES, block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows of the container, ascending in doc_id by (shard, part). Ranges of doc_id (and, within one doc_id, of the
+    texts' hashes) are dealt out, so that a hot source is spread; the texts cross one exchange, and the range bounds are
+    sampled from the scan alone."""
     path = path or default_path()
     texts = id_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(texts) // shard_bytes))
-    ordered = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(texts) // range_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def row(shard: int, part: int, doc_ids: list, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        symbols, freqs = table_of(counts)
+        coder = Coder(symbols, freqs)
+        blocks, crc = [], 0
+        for first in range(0, len(ids), block_tokens):
+            own = ids[first : first + block_tokens]
+            k = int(min(lanes, max(1, len(own) // 64)))
+            words, state, points = coder.encode(own, k)
+            payload = words.astype("<u4").tobytes()
+            crc = zlib.crc32(own.astype("<u4").tobytes(), crc)
+            blocks.append({"lanes": k, "n_tokens": len(own), "states": state.astype("<u8").tobytes(), "checkpoints": points, "payload": payload, "payload_crc32": zlib.crc32(payload)})
+        values = {"shard": shard, "part": part, "doc_ids": doc_ids, "doc_tokens": sizes.tolist(), "n_tokens": len(ids), "ids_crc32": crc, "symbols": symbols.astype("<u4").tobytes(), "freqs": freqs.astype("<u4").tobytes(), "blocks": blocks}
+        return pa.RecordBatch.from_pylist([values], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, part, held = TaskContext.get().partitionId(), 0, 0
         encoder = Encoder.of(path)
-        doc_ids: list[int | None] = []
-        parts: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        for part, data, offsets in slices(batches, shard_bytes):
-            own, own_at = encoder.encode(data, offsets)
-            doc_ids += part.column(0).to_pylist()
-            parts.append(own.astype(np.uint16))
+        doc_ids, parts, lengths, counts = [], [], [], np.zeros(encoder.size, np.int64)
+        for keys, own, own_at in encoder.parts(batches):
+            doc_ids += keys.to_pylist()
+            parts.append(own.astype(encoder.kind))
             lengths.append(np.diff(own_at))
-        if not doc_ids:
-            return
-        sizes, ids = np.concatenate(lengths), np.concatenate(parts)
-        del parts
-        symbols, freqs = table_of(np.bincount(ids))
-        coder = Coder(symbols, freqs)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        first = block = 0
-        while first < len(sizes):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + block_tokens, side="right")) - 1)
-            own = ids[at[first] : at[last]]
-            k = int(min(lanes, max(1, len(own) // 64)))
-            words, state, points = coder.encode(own, k)
-            payload = words.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "shard": shard, "block": block, "doc_ids": doc_ids[first:last], "doc_tokens": sizes[first:last].tolist(),
-                        "symbols": symbols.astype("<u2").tobytes() if block == 0 else None, "freqs": freqs.astype("<u4").tobytes() if block == 0 else None,
-                        "lanes": k, "n_tokens": len(own), "states": state.astype("<u8").tobytes(), "checkpoints": points, "payload": payload,
-                        "payload_crc32": zlib.crc32(payload), "ids_crc32": zlib.crc32(own.astype("<u4").tobytes()),
-                    }
-                ],
-                schema=_ARROW,
-            )
-            first, block = last, block + 1
+            counts += np.bincount(own, minlength=encoder.size)
+            held += len(own)
+            if held >= shard_bytes // 4:  # about 4 bytes an id; a slice is the least that is added
+                yield row(shard, part, doc_ids, np.concatenate(lengths), np.concatenate(parts), counts)
+                part, held, doc_ids, parts, lengths, counts = part + 1, 0, [], [], [], np.zeros(encoder.size, np.int64)
+        if doc_ids:
+            yield row(shard, part, doc_ids, np.concatenate(lengths), np.concatenate(parts), counts)
 
     return ordered.mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema(
     [
-        ("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("symbols", pa.binary()), ("freqs", pa.binary()),
-        ("lanes", pa.int32()), ("n_tokens", pa.int64()), ("states", pa.binary()), ("checkpoints", pa.binary()), ("payload", pa.binary()), ("payload_crc32", pa.int64()), ("ids_crc32", pa.int64()),
+        ("shard", pa.int32()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("symbols", pa.binary()), ("freqs", pa.binary()),
+        ("blocks", pa.list_(pa.struct([("lanes", pa.int32()), ("n_tokens", pa.int64()), ("states", pa.binary()), ("checkpoints", pa.binary()), ("payload", pa.binary()), ("payload_crc32", pa.int64())]))),
     ]
 )
 
 
+def starts_of(counts: DataFrame) -> DataFrame:
+    """shard, part, start of (shard, part, n_tokens): running sums in two levels, so that no task holds all rows."""
+    named = counts.withColumn("run", F.floor(F.col("shard") / 1024))
+    runs = named.groupBy("run").agg(F.sum("n_tokens").alias("n"))
+    before = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("run_start"))
+    inner = Window.partitionBy("run").orderBy("shard", "part")
+    placed = named.select("run", "shard", "part", (F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("inner_start"))
+    return placed.join(before, "run").select("shard", "part", (F.col("run_start") + F.col("inner_start")).alias("start"))
+
+
 def write_tokens(docs: DataFrame, folder: str, **options) -> str:
     """Writes the container to `folder` (must not exist); returns it."""
-    encode_container(docs, **options).write.parquet(folder)
+    encode_container(docs, **options).write.parquet(f"{folder}/data")
+    starts_of(docs.sparkSession.read.schema(SCHEMA).parquet(f"{folder}/data").select("shard", "part", "n_tokens")).write.parquet(f"{folder}/starts")
     return folder
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (uint32 little endian) from the files.
-
-    A block whose payload or ids don't match their checksums raises. Places come from counts alone: one row a block is
-    summed by shard, then over shards."""
-    blocks = spark.read.schema(SCHEMA).parquet(folder)
-    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    tables = blocks.where("block = 0").select("shard", F.col("symbols").alias("table_symbols"), F.col("freqs").alias("table_freqs"))
-    inner = Window.partitionBy("shard").orderBy("block")
-    places = blocks.select("shard", "block", (F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("inner_start")).join(before, "shard")
-    placed = blocks.drop("symbols", "freqs").join(tables, "shard").join(places, ["shard", "block"])
-    placed = placed.select("doc_ids", "doc_tokens", "table_symbols", "table_freqs", "n_tokens", "states", "payload", "payload_crc32", "ids_crc32", (F.col("shard_start") + F.col("inner_start")).alias("start"))
+def decode_row(r: dict) -> np.ndarray:
+    """The ids (uint32) of one row, each checksum compared."""
+    coder = Coder(np.frombuffer(r["symbols"], "<u4"), np.frombuffer(r["freqs"], "<u4"))
+    out = np.empty(r["n_tokens"], "<u4")
+    at = 0
+    for b in r["blocks"]:
+        if zlib.crc32(b["payload"]) != b["payload_crc32"]:
+            raise ValueError("a block's payload does not match its checksum")
+        out[at : at + b["n_tokens"]] = coder.decode(np.frombuffer(b["payload"], "<u4"), np.frombuffer(b["states"], "<u8"), b["n_tokens"], b["checkpoints"])
+        at += b["n_tokens"]
+    if at != len(out) or zlib.crc32(out) != r["ids_crc32"]:
+        raise ValueError("a row's ids do not match their checksum")
+    return out
+
+
+def read_tokens(spark: SparkSession, folder: str, digests: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (uint32 little endian), or ids_crc32 in their place,
+    from the files. What doesn't match its checksum raises. Only documents' rows meet `starts`, never payloads."""
+    rows = spark.read.schema(SCHEMA).parquet(f"{folder}/data")
+    starts = spark.read.schema("shard int, part int, start long").parquet(f"{folder}/starts")
+    name, kind = ("ids_crc32", "long") if digests else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 r = {k: b.column(k)[i].as_py() for k in b.schema.names}
-                if zlib.crc32(r["payload"]) != r["payload_crc32"]:
-                    raise ValueError("a block's payload does not match its checksum")
-                coder = Coder(np.frombuffer(r["table_symbols"], "<u2"), np.frombuffer(r["table_freqs"], "<u4"))
-                ids = coder.decode(np.frombuffer(r["payload"], "<u4"), np.frombuffer(r["states"], "<u8"), r["n_tokens"]).astype("<u4")
-                if zlib.crc32(ids.tobytes()) != r["ids_crc32"]:
-                    raise ValueError("a block's ids do not match their checksum")
-                sizes = np.asarray(r["doc_tokens"], np.int64)
+                ids, sizes, doc_ids = decode_row(r), np.asarray(r["doc_tokens"], np.int64), r["doc_ids"]
+                shard, part = r["shard"], r["part"]
+                del r
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at * 4), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + at[:-1]), pa.array(sizes), raw], names=["doc_id", "start", "n_tokens", "ids"])
+                first = 0
+                while first < len(sizes):  # about 4 MB of ids at once
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + (1 << 20), side="right")) - 1)
+                    own, n = at[first : last + 1], last - first
+                    value = pa.array([zlib.crc32(ids[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)], pa.int64()) if digests else _runs(ids[own[0] : own[-1]], own - own[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(doc_ids[first:last], pa.int64()), pa.array(own[:-1]), pa.array(sizes[first:last]), value], names=["shard", "part", "doc_id", "inner", "n_tokens", name])
+                    first = last
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    found = rows.mapInArrow(run, f"shard int, part int, doc_id long, inner long, n_tokens long, {name} {kind}")
+    return found.join(bounded(starts, broadcast_rows), ["shard", "part"]).select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", name)
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, "tokens"))
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, digests=True)

@@ -120,7 +120,8 @@ def spread(lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark, name: str) -> str:
-    """A fresh folder name below the cluster's shared checkpoint folder; a local one only where none is set, as in tests."""
+    """A fresh folder name below the shared folder named in spark.checkpoint.dir, or set by setCheckpointDir(). Without
+    one, a local session takes a folder of this machine; on a cluster that is an error, as machines don't share it."""
     import tempfile
     import uuid
 
@@ -129,6 +130,8 @@ def shared_dir(spark, name: str) -> str:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = made.get() if made.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="planeworks-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -137,11 +140,12 @@ def shared_dir(spark, name: str) -> str:
 def ensure_checkpoint_dir(spark) -> None:
     """checkpoint() works from here on."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root:
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            shared_dir(spark, "checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+
+
+def bounded(table: DataFrame, most: int) -> DataFrame:
+    """The table, to be broadcast only if it has been counted to be of `most` rows or fewer."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -3,23 +3,31 @@
 The text is cut only where the tokenizer's own pre-tokenizer always cuts: at ASCII white space, and between ASCII
 letters, ASCII digits and other ASCII bytes, never next to an apostrophe (contractions) nor next to a non-ASCII byte
 (normalisation). ASCII capitals are lowered first unless a non-ASCII byte follows. A text that holds a special token's
-string in any case, is encoded whole by the library. tests/llm/test_tokens.py holds this against plain encoding.
+string in any case, is encoded whole by the library, and so is every text if the file's pre-tokenizer isn't of that
+kind. Pieces of ASCII and Latin-1 letters alone are one word each; many of them are encoded in one call, joined by spaces,
+and told apart by the ids that end a word. tests/llm/test_tokens.py holds all this against plain encoding.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from planeworks.llm.text import LOWER_BYTES, SPACE, dictionary, mapped, runs_of
+from planeworks.llm.text import LOWER_BYTES, SPACE, dictionary, mapped, row_bytes, runs_of, slices
 
 #: Id that ends a document.
 END = 1
-#: Most distinct pieces that a worker remembers; beyond that it starts anew (only speed depends on it).
-REMEMBER = 1_500_000
+#: Bytes of distinct pieces, with their ids, that a worker remembers within a task; beyond that it keeps those of the last
+#: slice (only speed depends on it).
+REMEMBER = 16 << 20
+#: Bytes of text to encode at once: the arrays of a slice take about 25 times as much.
+SLICE = 4 << 20
+_AT_ONCE = 1 << 14
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
@@ -27,6 +35,10 @@ _KIND[48:58] = 2
 _KIND[128:] = 4
 _KIND[39] = 5
 _KIND[SPACE] = 0
+#: Bytes of words of one piece: ASCII letters, and the letters U+00C0 to U+00FF (0xC3 and a second byte; two are signs).
+_NO_LETTER = np.ones(256, np.uint8)
+_NO_LETTER[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 0
+_NO_LETTER[[0x97, 0xB7]] = 1
 #: A piece begins at a byte of kind b after one of kind a if _BEGINS[8 * a + b].
 _BEGINS = np.zeros(256, np.uint8)
 _BEGINS[1:6] = 1
@@ -52,6 +64,16 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            shape = json.load(file)
+        mark = shape["model"].get("end_of_word_suffix")
+        self.cuts = bool(mark) and "Lowercase" in str(shape["normalizer"]) and "Split" in str(shape["pre_tokenizer"])
+        vocabulary = self.library.get_vocab()
+        self.size = max([END, *vocabulary.values()]) + 1
+        self.ends_word = np.zeros(self.size, bool)
+        if mark:
+            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
+        self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.forget()
 
     @classmethod
@@ -65,31 +87,75 @@ class Encoder:
         self.known = pa.array([], pa.large_binary())
         self.known_ids, self.known_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces by the library."""
+        raw, at = row_bytes(pieces)
+        other = np.add.reduceat(mapped(raw, _NO_LETTER), at[:-1], dtype=np.int64) > 0
+        sizes = np.zeros(len(pieces), np.int64)
+        words, rest = np.flatnonzero(~other), np.flatnonzero(other)
+        found = []
+        for k in range(0, len(words), _AT_ONCE):
+            text = b" ".join(pieces.take(pa.array(words[k : k + _AT_ONCE])).to_pylist()).decode()
+            found.append(np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        joined = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        stop = np.flatnonzero(self.ends_word[joined]) + 1
+        if len(stop) == len(words):
+            sizes[words] = np.diff(stop, prepend=0)
+        else:  # the vocabulary has no such word end after all
+            rest, joined = np.arange(len(pieces)), joined[:0]
+        lists = [e.ids for e in self.library.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces.take(pa.array(rest)).to_pylist()], add_special_tokens=False)]
+        sizes[rest] = np.fromiter(map(len, lists), np.int64, len(lists))
+        out = np.empty(int(sizes.sum()), np.uint32)
+        own = np.zeros(len(pieces), bool)
+        own[rest] = True
+        from_rest = np.repeat(own, sizes)
+        out[~from_rest] = joined
+        out[from_rest] = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes[rest].sum()))
+        return out, sizes
+
     def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of distinct pieces, from memory where they have been met before."""
-        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            found = self.library.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces.take(pa.array(new)).to_pylist()], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-            if len(self.known) + len(new) > REMEMBER:
+            added = pieces.take(pa.array(new))
+            flat, sizes = self._fresh(added)
+            if self.known.nbytes + self.known_ids.nbytes + self.known_at.nbytes + added.nbytes + flat.nbytes > REMEMBER:
                 kept = np.unique(place[place >= 0])
-                old, at = gather(self.known_ids, self.known_at, kept)
-                self.known, self.known_ids, self.known_at = self.known.take(pa.array(kept)), old, at
+                self.known_ids, self.known_at = gather(self.known_ids, self.known_at, kept)
+                self.known = self.known.take(pa.array(kept))
                 place = np.where(place >= 0, np.searchsorted(kept, place), place)
-            place = place.astype(np.int64)
             place[new] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, pieces.take(pa.array(new))])
+            self.known = pa.concat_arrays([self.known, added])
             self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(sizes)])
             self.known_ids = np.concatenate([self.known_ids, flat])
-        return gather(self.known_ids, self.known_at, place.astype(np.int64))
+        return gather(self.known_ids, self.known_at, place)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        lists = [e.ids for e in self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) + 1)])
+        out = np.full(at[-1], END, np.uint32)
+        is_id = np.ones(len(out), bool)
+        is_id[at[1:] - 1] = False
+        out[is_id] = np.fromiter((i for x in lists for i in x), np.uint32, int(is_id.sum()))
+        return out, at
+
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(doc_ids, ids, ids before each row and in all) slice by slice. What a task remembers ends with it, so that a
+        worker that is kept for other work holds the vocabulary alone."""
+        try:
+            for part, data, offsets in slices(batches, SLICE):
+                yield part.column(0), *self.encode(data, offsets)
+        finally:
+            self.forget()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if n == 0:
             return np.full(len(offsets) - 1, END, np.uint32), np.arange(len(offsets), dtype=np.int64)
+        if not self.cuts:
+            return self._whole(data, offsets)
         raw = data.tobytes()
         low = np.frombuffer(raw.translate(LOWER_BYTES), np.uint8)
         keep = np.flatnonzero((data[1:] >= 128) & (low[:-1] != data[:-1]))  # a non-ASCII byte comes next

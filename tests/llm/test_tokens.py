@@ -25,7 +25,7 @@ def test_encoder_is_the_library(spark, small):
 def test_encoder_forgets(monkeypatch):
     import planeworks.llm.tokens as M
 
-    monkeypatch.setattr(M, "REMEMBER", 3)
+    monkeypatch.setattr(M, "REMEMBER", 120)
     e = Encoder(default_path())
     for text in ("aa bb cc", "bb dd ee ff", "aa bb gg hh ii"):
         ids, _ = e.encode(*row_bytes(pa.array([text])))
@@ -38,9 +38,12 @@ def test_coder_round_trip_and_checkpoints(n, alphabet, lanes):
     coder = T.Coder(*T.table_of(np.bincount(ids)))
     words, state, points = coder.encode(ids, lanes, every=16)
     assert coder.decode(words, state, n).tolist() == ids.tolist()
-    for k, (position, states) in enumerate(T.checkpoint_states(points, lanes)):
+    marks = T.checkpoint_states(points, lanes)
+    assert len(marks) == (-(-n // lanes) - 1) // 16
+    assert coder.decode(words, state, n, points, 16).tolist() == ids.tolist()  # all stretches at once
+    for k, (position, states) in enumerate(marks):  # and from each checkpoint on
         step = 16 * (k + 1)
-        assert coder.decode(words, states, n, step, position).tolist() == ids[step * lanes :].tolist()
+        assert coder.decode(words[position:], states, n - step * lanes).tolist() == ids[step * lanes :].tolist()
 
 
 def test_table_fills_its_scale():
@@ -49,9 +52,10 @@ def test_table_fills_its_scale():
         assert freqs.sum() == 1 << T.SCALE and freqs.min() >= 1 and len(symbols) == (counts > 0).sum()
 
 
-def test_container(spark, odd, tmp_path):
-    T.write_tokens(odd, str(tmp_path / "c"), block_tokens=500)
-    got = [tuple(r) for r in T.read_tokens(spark, str(tmp_path / "c")).collect()]
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_container(spark, odd, tmp_path, broadcast_rows):
+    T.write_tokens(odd, str(tmp_path / "c"), block_tokens=500, shard_bytes=400)
+    got = [tuple(r) for r in T.read_tokens(spark, str(tmp_path / "c"), broadcast_rows=broadcast_rows).collect()]
     want = sorted(((i is not None, i or 0, plain(t).tobytes()) for i, t in odd_rows()), key=lambda x: x[:2])
     assert sorted((i is not None, i or 0, bytes(b)) for i, _, _, b in got) == sorted(want)
     at, order = 0, sorted(got, key=lambda r: r[1])
@@ -59,13 +63,38 @@ def test_container(spark, odd, tmp_path):
         assert start == at and len(b) == 4 * n
         at += n
     assert [r[0] or -1 for r in order] == sorted(r[0] or -1 for r in order)
+    digests = T.read_tokens(spark, str(tmp_path / "c"), digests=True).collect()
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in digests) == sorted((s, n, zlib.crc32(b)) for _, s, n, b in got)
+
+
+def test_other_tokenizers(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    T.write_tokens(odd, str(tmp_path / "c"), path=path)
+    got = [(r.doc_id or -1, bytes(r.ids)) for r in T.read_tokens(spark, str(tmp_path / "c")).collect()]
+    assert sorted(got) == sorted((i or -1, np.array(whole.encode(t or "", add_special_tokens=False).ids + [END], "<u4").tobytes()) for i, t in odd_rows())
+
+
+def test_very_long_text(spark, tmp_path):
+    text = " ".join(t for _, t in odd_rows() if t and "<|" not in t) * 180  # some 10 MB
+    assert len(text) > 9_000_000
+    docs = make(spark, [(1, "a"), (2, text), (3, "b")])
+    got = {r.doc_id: r for r in T.read_tokens(spark, T.write_tokens(docs, str(tmp_path / "c")), digests=True).collect()}
+    want = plain(text)
+    assert got[2].n_tokens == len(want) and got[2].ids_crc32 == zlib.crc32(want.tobytes()) and got[3].start == 2 + len(want)
 
 
 def test_damage_is_noticed(spark, odd, tmp_path):
     from pyspark.sql import functions as F
 
-    rows = T.encode_container(odd).withColumn("payload", F.concat(F.lit(b"xxxx"), F.substring("payload", 5, 1 << 30)))
-    rows.write.parquet(str(tmp_path / "bad"))
+    T.write_tokens(odd, str(tmp_path / "good"))
+    rows = spark.read.parquet(str(tmp_path / "good" / "data"))
+    worse = F.transform("blocks", lambda b: b.withField("payload", F.concat(F.lit(b"xxxx"), F.substring(b["payload"], 5, 1 << 30))))
+    rows.withColumn("blocks", worse).write.parquet(str(tmp_path / "bad" / "data"))
+    spark.read.parquet(str(tmp_path / "good" / "starts")).write.parquet(str(tmp_path / "bad" / "starts"))
     with pytest.raises(Exception, match="checksum"):
         T.read_tokens(spark, str(tmp_path / "bad")).collect()
 
