@@ -4,9 +4,14 @@ The reader walks the chain of image directories (either byte order, strips or ti
 LZW and deflate data, undoes horizontal differencing, and gives each page's samples in row order. The writer makes what
 the reader reads. Both are per row, so nothing is shuffled.
 
+A text's payload is its UTF-8 bytes and bytes 0 up to a positive multiple of 64, as rows of 64 samples. It is dealt to a
+layout (compression, predictor, strips or tiles, byte order, one to three pages) by its checksum alone, so every layout
+has its share of texts of every length, and equal texts are equal files.
+
 Defined cases: null content is no file: one row with page null and status `null`; content that is no TIFF, or is cut
 off, or uses what isn't supported, gives one row with page null and a status that says why, never a crash; a chain of
-directories that loops is cut at the first repeat. Repeated rows stay repeated rows; an empty table gives no rows.
+directories that loops is cut at the first repeat. A null or empty text is one row of 64 zeros. Repeated rows stay
+repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,21 +41,26 @@ class TiffError(ValueError):
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 2:
-            out += bytes((257 - (j - i), data[i]))
-            i = j
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of two equal bytes or more as such, the bytes between them as they are; both in pieces of 128 at most."""
+    raw = np.frombuffer(data, np.uint8)
+    out, n = bytearray(), len(raw)
+    first = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, n))
+    runs = np.flatnonzero(size > 1)
+    at = 0
+    for a, k in zip(first[runs].tolist() + [n], size[runs].tolist() + [0], strict=True):
+        while at < a:
+            m = min(128, a - at)
+            out.append(m - 1)
+            out += data[at : at + m]
+            at += m
+        while k > 1:
+            m = min(128, k)
+            out += bytes((257 - m, data[a]))
+            k, at = k - m, at + m
+        if k:  # one byte of a run is left over
+            out += bytes((0, data[a]))
+            at += 1
     return bytes(out)
 
 
@@ -69,72 +79,90 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: Codes from one clear code to the next: code k after a clear code has the width _WIDTH[k], as the table widens one
+#: code early. The writer clears once code 4094 is made.
+_CLEAR, _END, _FIRST, _LAST = 256, 257, 258, 4095
+_WIDTH = np.maximum(9, np.ceil(np.log2(np.arange(_FIRST + 1, _LAST + 3))).astype(np.int64)).clip(9, 12)
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Most significant bit first, codes of 9 to 12 bits, widening one code early, as TIFF has it."""
-    table = {bytes((i,)): i for i in range(256)}
-    acc, bits, width, out, free, prefix = 256, 9, 9, bytearray(), 258, b""
-    for i in range(len(data)):
-        one = data[i : i + 1]
-        longer = prefix + one
-        if longer in table:
+    codes, cut = [_CLEAR], [0]
+    table: dict[int, int] = {}
+    find, add = table.get, codes.append
+    free, prefix = _FIRST, -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        longer = find(key)
+        if longer is not None:
             prefix = longer
             continue
-        acc, bits = (acc << width) | table[prefix], bits + width
-        table[longer] = free
-        free += 1
-        if free == 4095:
-            acc, bits = (acc << 12) | 256, bits + 12
-            table = {bytes((k,)): k for k in range(256)}
-            free, width = 258, 9
-        elif free >= (1 << width):
-            width += 1
-        prefix = one
-        while bits >= 8:
-            bits -= 8
-            out.append((acc >> bits) & 255)
-        acc &= (1 << bits) - 1
-    if prefix:
-        acc, bits = (acc << width) | table[prefix], bits + width
+        add(prefix)
+        table[key] = free
         free += 1
-        if free >= (1 << width) and width < 12:
-            width += 1
-    acc, bits = (acc << width) | 257, bits + width
-    pad = -bits % 8
-    return bytes(out) + (acc << pad).to_bytes((bits + pad) // 8, "big")
+        prefix = byte
+        if free == _LAST:
+            cut.append(len(codes))
+            add(_CLEAR)
+            table.clear()
+            free = _FIRST
+    if prefix >= 0:
+        add(prefix)
+    add(_END)
+    values = np.array(codes, np.int64)
+    # a code's width follows from its place after the last clear code, which itself is as wide as its place before says
+    since = np.arange(len(values))
+    for a, b in zip(cut, cut[1:] + [len(values) - 1], strict=True):
+        since[a + 1 : b + 1] -= a + 1
+    since[0] = 0
+    width = _WIDTH[since]
+    at = np.cumsum(width) - width
+    total = int(at[-1] + width[-1])
+    # twelve bits a code, of which the last `width` are kept
+    bits = np.unpackbits((values << (16 - width)).astype(">u2").view(np.uint8)).reshape(-1, 16)
+    keep = np.arange(16)[None, :] < width[:, None]
+    return np.packbits(bits[keep][:total]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, acc, bits, width, prior = bytearray(), 0, 0, 9, b""
-    for byte in data:
-        acc, bits = (acc << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == 256:
-            table, width, prior = table[:258], 9, b""
-            continue
-        if code == 257:
+    """Up to `size` bytes; data that ends without an end code is as long as its codes."""
+    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
+    places = np.cumsum(_WIDTH) - _WIDTH
+    start, end, made, out = 0, 8 * len(data), 0, []
+    while start + 9 <= end and made < size:
+        # the codes up to the next clear code, as many as one table can hold
+        n = int(np.searchsorted(places + _WIDTH, end - start, side="right"))
+        at = start + places[:n]
+        byte = at >> 3
+        three = padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]
+        values = (three >> (24 - (at & 7) - _WIDTH[:n])) & ((1 << _WIDTH[:n]) - 1)
+        stops = np.flatnonzero((values == _CLEAR) | (values == _END))
+        stop = int(stops[0]) if len(stops) else n
+        table, prior = _SINGLE.copy(), b""
+        add = table.append
+        for code in values[:stop].tolist():
+            if code < len(table):
+                entry = table[code]
+                if prior:
+                    add(prior + entry[:1])
+            elif code == len(table) and prior:
+                entry = prior + prior[:1]
+                add(entry)
+            else:
+                raise TiffError("lzw: code out of order")
+            out.append(entry)
+            made += len(entry)
+            prior = entry
+            if made >= size:
+                break
+        if not len(stops) or values[stop] == _END:
             break
-        if not prior:
-            entry = table[code] if code < len(table) else b""
-        elif code < len(table):
-            entry = table[code]
-            table.append(prior + entry[:1])
-        elif code == len(table):
-            entry = prior + prior[:1]
-            table.append(entry)
-        else:
-            raise TiffError("lzw: code out of order")
-        out += entry
-        prior = entry
-        if len(table) + 1 >= (1 << width) and width < 12:
-            width += 1
-        if len(out) >= size:
-            break
-    return bytes(out)
+        start = int(at[stop] + _WIDTH[stop])
+    return b"".join(out)[:size]
 
 
 def _decode(raw: bytes, compression: int, size: int) -> bytes:
@@ -266,8 +294,8 @@ def features(samples: bytes) -> str:
     counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
     n = max(1, int(counts.sum()))
     p = counts / n
-    mean = float((p * np.arange(256)).sum())
-    deviation = float(np.sqrt(max(0.0, (p * np.arange(256) ** 2).sum() - mean**2)))
+    total, squares = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
+    mean, deviation = total / n, (n * squares - total * total) ** 0.5 / n
     own = p[p > 0]
     return f"n={len(samples)};mean={mean:.4f};sd={deviation:.4f};bits={float(-(own * np.log2(own)).sum()):.4f};zeros={p[0]:.4f}"
 
@@ -293,62 +321,109 @@ def page_rows(key: int | None, data: bytes | None) -> Iterator[dict]:
         yield {"key": key, **empty, "status": str(e)[:200] or "bad"}
 
 
+def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page of batches of (key, content, further columns), which each page carries on; about 4 MB at once."""
+    for b in batches:
+        rows, held = [], 0
+        for i, (key, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            for row in page_rows(key, data.as_py()):
+                rows.append((i, row))
+                held += len(row["samples"] or b"")
+                if held >= 4 << 20:
+                    yield _page_batch(b, rows)
+                    rows, held = [], 0
+        if rows:
+            yield _page_batch(b, rows)
+
+
+def _page_batch(b: pa.RecordBatch, rows: list[tuple[int, dict]]) -> pa.RecordBatch:
+    pages = pa.RecordBatch.from_pylist([r for _, r in rows], schema=_PAGES)
+    take = pa.array([i for i, _ in rows])
+    more = b.schema.names[2:]
+    return pa.RecordBatch.from_arrays([*pages.columns, *[b.column(c).take(take) for c in more]], names=[*pages.schema.names, *more])
+
+
 def read_tiff_pages(files: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """One row a page of each file in a binary column: id, page, status, layout columns, samples."""
+    chosen = files.select(F.col(id_col).cast("long").alias("key"), F.col(content_col).alias("content"))
+    return chosen.mapInArrow(pages_of, PAGE_SCHEMA.format(key="key")).withColumnRenamed("key", "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = list(page_rows(key, data.as_py()))
-                yield pa.RecordBatch.from_pylist(rows, schema=_PAGES)
 
-    return files.select(F.col(id_col).cast("long").alias("key"), F.col(content_col).alias("content")).mapInArrow(run, PAGE_SCHEMA.format(key="key")).withColumnRenamed("key", "doc_id")
+_PAGES = pa.schema([("key", pa.int64()), ("page", pa.int32()), ("status", pa.string()), ("byte_order", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary())])
 
 
-_PAGES = pa.schema([("key", pa.int64()), ("page", pa.int32()), ("status", pa.string()), ("byte_order", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary())])
+#: Every way in which a payload may be stored, in the order in which checksums are dealt.
+LAYOUTS = [
+    {"compression": compression, "predictor": predictor, "tile": tile, "order": order, "pages": pages}
+    for compression in (PACKBITS, LZW, DEFLATE) for predictor in (1, 2) for tile in (None, 64) for order in ("<", ">") for pages in (1, 2, 3)
+]
 
 
-def layout_of(n: int) -> dict:
-    """How a payload of n bytes is stored: by size alone, so equal texts give equal files."""
-    if n <= 256:
-        return {"compression": PACKBITS, "predictor": 1}
-    if n <= 1024:
-        return {"compression": LZW, "predictor": 1}
-    if n % 4096 == 0:
-        return {"compression": DEFLATE, "predictor": 1, "tile": 64}
-    return {"compression": DEFLATE, "predictor": 1, "rows_per_strip": 512}
+def layout_of(payload: bytes) -> dict:
+    """How a payload is stored: by its checksum alone."""
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
 
 
 def payload_of(text: bytes) -> bytes:
-    return text + b"\0" * (WIDTH - len(text) % WIDTH)
+    """The text and zeros up to the next positive multiple of WIDTH."""
+    return text + b"\0" * (-len(text) % WIDTH if text else WIDTH)
 
 
 def store_text(payload: bytes) -> bytes:
-    """One page, 64 samples a row."""
-    return write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)], **layout_of(len(payload)))
+    """64 samples a row, in as many pages as the layout says, or as there are rows."""
+    layout = dict(layout_of(payload))
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    return write_tiff(np.array_split(rows, min(layout.pop("pages"), len(rows))), **layout)
+
+
+def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, media, n_bytes of batches of (doc_id, text)."""
+    for part, data, offsets in slices(batches, 4 << 20):
+        raw = data.tobytes()
+        media = [store_text(payload_of(raw[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary()), pa.array(np.diff(offsets))], names=["doc_id", "media", "n_bytes"])
+
+
+def folded(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """One row a text from its files' pages as pages_of() gives them, in order: payload and features of what was read."""
+    names = ["doc_id", "n_bytes", "n_pages", *["media", "payload"] * keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary(), pa.binary()] * keep, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    held: list = []  # (key, bytes of text, file, pages' samples) of the text at hand
+
+    def row(key: int | None, n: int, media: bytes, pages: list[bytes]) -> tuple:
+        payload = b"".join(pages)
+        both = (media, payload) if keep else ()
+        return (key, n, len(pages), *both, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for b in batches:
+        rows = []
+        for key, page, status, samples, media, n in zip(*[b.column(c).to_pylist() for c in ("key", "page", "status", "samples", "media", "n_bytes")], strict=True):
+            if status != "ok":
+                raise TiffError(f"a stored text doesn't read back: {status}")
+            if page == 0:
+                if held:
+                    rows.append(row(*held))
+                held = [key, n, media, []]
+            held[3].append(samples)
+        if rows:
+            yield batch(rows)
+    if held:
+        yield batch([row(*held)])
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, media (the TIFF file) and what is read back from it: payload, features. keep=False leaves the
-    two binary columns out and gives their digests only."""
+    """doc_id, n_bytes, n_pages, media (the TIFF file) and what is read back from it, page by page: payload, features.
+    keep=False leaves the two binary columns out and gives their digests only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, 4 << 20):
-            raw = data.tobytes()
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "media", "payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                media = store_text(payload_of(raw[a:b]))
-                pages = list(directories(media))
-                payload = b"".join(read_page(media, order, tags).tobytes() for order, tags in pages)
-                row = (b - a, media, payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload))
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            if not keep:
-                del out["media"], out["payload"]
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out.values())], names=["doc_id", *out])
+        files = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), b.column(2)], names=["key", "content", "media", "n_bytes"]) for b in stored(batches))
+        return folded(pages_of(files), keep)
 
     binary = "media binary, payload binary, " if keep else ""
-    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_bytes long, {binary}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_bytes long, n_pages int, {binary}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

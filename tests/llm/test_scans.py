@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -57,14 +58,79 @@ def test_tiff_pages(spark):
     assert {r.doc_id for r in rows if r.status != "ok"} >= {2, 3, 4, 5}
 
 
-def test_text_media(odd, none):
-    rows = T.text_media(odd).collect()
-    want = Counter((i, len((t or "").encode()), hashlib.sha256(T.payload_of((t or "").encode())).hexdigest()) for i, t in odd_rows())
-    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == want
-    assert all(r.payload_bytes % 64 == 0 and r.payload_bytes > r.n_bytes and hashlib.sha256(r.media).hexdigest() == r.media_sha256 for r in rows)
+def lzw_plain(data):
+    """The format's own description, bit by bit."""
+    bits, table, out, width, prior = "".join(f"{x:08b}" for x in data), {}, b"", 9, None
+    while len(bits) >= width:
+        code, bits = int(bits[:width], 2), bits[width:]
+        if code == 256:
+            table, width, prior = {i: bytes((i,)) for i in range(256)} | {256: b"", 257: b""}, 9, None
+            continue
+        if code == 257:
+            break
+        entry = table[code] if code in table else prior + prior[:1]
+        out += entry
+        if prior is not None:
+            table[len(table)] = prior + entry[:1]
+        prior = entry
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 40, 3000, 20000])
+def test_lzw_is_the_format(n):
+    for seed, alphabet in ((1, 256), (2, 3), (3, 30)):
+        data = bytes(random.Random(seed * n).randrange(alphabet) for _ in range(n))
+        assert lzw_plain(T.lzw_encode(data)) == data == T.lzw_decode(T.lzw_encode(data), n)
+        assert T.lzw_decode(T.lzw_encode(data), n // 2) == data[: n // 2]
+
+
+def test_packbits_known_stream():
+    raw = bytes.fromhex("fe aa 02 80 00 2a fd aa 03 80 00 2a 22 f7 aa".replace(" ", ""))
+    want = b"\xaa" * 3 + b"\x80\x00\x2a" + b"\xaa" * 4 + b"\x80\x00\x2a\x22" + b"\xaa" * 10
+    assert T.packbits_decode(raw, 99) == want and T.packbits_encode(want) == raw
+
+
+def payload_plain(text):
+    raw = (text or "").encode()
+    while not raw or len(raw) % 64:
+        raw += b"\0"
+    return raw
+
+
+def test_text_media(odd, none, spark):
+    texts = odd_rows() + [(100 + n, "x" * n) for n in (0, 1, 63, 64, 65, 128, 129, 4096)] + [(300 + k, chr(97 + k % 26) * k + "é" * k) for k in range(200)] + [(999, "long text " * 200_000)]
+    rows = T.text_media(make(spark, texts).repartition(3)).collect()
+    plain = Counter((i, len((t or "").encode()), payload_plain(t)) for i, t in texts)
+    assert Counter((r.doc_id, r.n_bytes, bytes(r.payload)) for r in rows) == plain
+    for r in rows:
+        p = bytes(r.payload)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        pages = [T.read_page(bytes(r.media), o, t) for o, t in T.directories(bytes(r.media))]
+        assert r.n_pages == len(pages) and b"".join(x.tobytes() for x in pages) == p
+        counts = Counter(p)
+        mean = sum(k * n for k, n in counts.items()) / len(p)
+        assert r.feature.startswith(f"n={len(p)};mean={mean:.4f}") and r.feature.endswith(f"zeros={counts[0] / len(p):.4f}")
+    same = {}
+    for r in rows:
+        same.setdefault(bytes(r.payload), set()).add((r.media_sha256, r.feature))
+    assert all(len(x) == 1 for x in same.values())
+    read = T.read_tiff_pages(spark.createDataFrame([(r.doc_id, r.media) for r in rows], "doc_id long, content binary")).collect()
+    assert len(read) == sum(r.n_pages for r in rows)
+    used = {(r.compression, r.predictor, r.tiled, r.byte_order) for r in read}
+    assert len(used) == 24 and {r.n_pages for r in rows} == {1, 2, 3}  # every layout has its share
     assert T.text_media(none).count() == 0
 
 
+def test_layout_does_not_depend_on_size():
+    by_size = {}
+    for k in range(3000):
+        payload = T.payload_of(bytes([k % 251, k // 251]) * (1 + k % 700))
+        by_size.setdefault(len(payload) > 1024, Counter())[T.layout_of(payload)["compression"]] += 1
+    assert all(len(c) == 3 and min(c.values()) > 0.25 * sum(c.values()) for c in by_size.values())
+
+
 # --- licences
 
 def licence_brute(text):
