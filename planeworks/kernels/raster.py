@@ -29,17 +29,6 @@ def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     return a
 
 
-def box_sum(a: np.ndarray, size: int) -> np.ndarray:
-    """Sums of size x size boxes centred on each cell (size odd); NaN where the box leaves the array."""
-    out = np.full(a.shape, np.nan)
-    if size > min(a.shape):
-        return out
-    c = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    r = size // 2
-    out[r : a.shape[0] - r, r : a.shape[1] - r] = c[size:, size:] - c[:-size, size:] - c[size:, :-size] + c[:-size, :-size]
-    return out
-
-
 def otsu(values: np.ndarray, bins: int = 256) -> float | None:
     """The lower edge of the first bin above the split of greatest between-class variance; None if constant."""
     if values.size == 0 or values.min() == values.max():

@@ -114,24 +114,28 @@ def fold(signal: DataFrame, *keys: str) -> DataFrame:
     return amplitude.join(r2, list(keys), "left") if keys else amplitude.crossJoin(r2)  # one row each
 
 
-def union_area(boxes: DataFrame, *keys: str) -> DataFrame:
-    """keys, area: exact area of the union of half-open boxes. Slabs between neighbouring x edges; in a slab, ends run
-    up over intervals ordered by start. Boxes meet the slabs of their keys by range."""
-    edges = boxes.select(*keys, F.col("x0").alias("x")).union(boxes.select(*keys, F.col("x1"))).distinct()
-    slabs = edges.withColumn("w", F.lead("x").over(Window.partitionBy(*keys).orderBy("x")) - F.col("x")).where("w is not null")
-    b, s = boxes.alias("b"), slabs.alias("s")
-    on = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("b.x0") <= F.col("s.x"), F.col("b.x1") > F.col("s.x")]
-    rule = on[0]
-    for r in on[1:]:
-        rule = rule & r
-    strips = b.join(s, rule).select(*[F.col(f"s.{k}") for k in keys], "x", "w", "y0", "y1").distinct()
-    before = F.max("y1").over(Window.partitionBy(*keys, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+def union_area(boxes: DataFrame, *keys: str, step: int = 64) -> DataFrame:
+    """keys, area: exact area of the union of half-open boxes with integer sides; empty boxes count for nothing. Boxes are
+    cut at multiples of `step` in x, so a key's boxes are dealt out by cell; a cell has at most `step` + 1 edges, between
+    which are its slabs, and a piece is listed in the slabs that it spans. In a slab only the highest of the boxes that
+    start together matters; ends run up over them in order."""
+    cell = F.explode(F.sequence(F.floor(F.col("x0") / step), F.floor((F.col("x1") - 1) / step)))
+    dealt = boxes.where("x1 > x0 and y1 > y0").withColumn("cell", cell)
+    pieces = dealt.select(*keys, "cell", F.greatest("x0", F.col("cell") * step).alias("x0"), F.least("x1", (F.col("cell") + 1) * step).alias("x1"), "y0", "y1")
+    edges = F.sort_array(F.array_union(F.collect_set("x0"), F.collect_set("x1")))
+    slabs = pieces.groupBy(*keys, "cell").agg(edges.alias("e")).select(*keys, "cell", F.transform(F.slice("e", F.lit(1), F.size("e") - 1), lambda x, i: F.struct(x.alias("x"), (F.get("e", i + 1) - x).alias("w"))).alias("slabs"))
+    inside = F.filter("slabs", lambda s: (s["x"] >= F.col("x0")) & (s["x"] < F.col("x1")))
+    strips = pieces.join(slabs, [*keys, "cell"]).select(*keys, F.explode(inside).alias("s"), "y0", "y1").select(*keys, "s.x", "s.w", "y0", "y1")
+    tops = strips.groupBy(*keys, "x", "w", "y0").agg(F.max("y1").alias("y1"))
+    before = F.max("y1").over(Window.partitionBy(*keys, "x").orderBy("y0").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(before, F.col("y0"))))
-    return strips.withColumn("fresh", fresh * F.col("w")).groupBy(*keys).agg(F.sum("fresh").alias("area"))
+    return tops.withColumn("fresh", fresh * F.col("w")).groupBy(*keys).agg(F.sum("fresh").alias("area"))
 
 
 def line_fit(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """keys, n, slope, intercept, p90 of the absolute residuals, their median absolute deviation about the median."""
+    """keys, n, slope, intercept, p90_abs (90th percentile of the absolute residuals), mad (median absolute deviation of
+    the residuals about their median)."""
     line = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
     res = points.join(line, list(keys)).withColumn("res", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    return res.groupBy(*keys, "n", "slope", "intercept").agg(F.percentile(F.abs("res"), F.lit(0.9)).alias("p90_abs"))
+    middle = res.groupBy(*keys).agg(F.percentile("res", F.lit(0.5)).alias("middle"))
+    return res.join(middle, list(keys)).groupBy(*keys, "n", "slope", "intercept").agg(F.percentile(F.abs("res"), F.lit(0.9)).alias("p90_abs"), F.percentile(F.abs(F.col("res") - F.col("middle")), F.lit(0.5)).alias("mad"))

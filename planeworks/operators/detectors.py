@@ -3,11 +3,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planeworks.kernels import detect as K
@@ -21,12 +21,13 @@ LOCAL = "plane_id string, grid_index long, kind string, axis string, x0 int, y0
 def overlapping_tiles(stored: DataFrame, size: int, stride: int, budget: int) -> DataFrame:
     """plane_id, grid_index, box and samples of each planned scan tile, cut from the stored tiles that it touches: an
     equi-join on the stored grid (each scan tile lists the few stored tiles it needs)."""
-    grid = stored.agg(F.max("h").alias("g")).first()["g"] or size  # the stored tile size: one number
+    sizes = stored.groupBy("plane_id").agg(F.max(F.greatest("h", "w")).cast("long").alias("grid"))  # the stored tiles' side
     shapes = stored.select("plane_id", F.col("height").cast("long"), F.col("width").cast("long")).distinct()
+    grid = F.col("grid")
     plan = within_budget(tile_plan(shapes, size, stride, "plane_id"), budget, "plane_id").where("status = 'planned'").withColumnRenamed("x0", "px0").withColumnRenamed("y0", "py0")
-    needs = plan.withColumn("ty", F.explode(F.sequence(F.floor(F.col("py0") / grid), F.floor((F.col("y1") - 1) / grid)))).withColumn("tx", F.explode(F.sequence(F.floor(F.col("px0") / grid), F.floor((F.col("x1") - 1) / grid))))
-    keyed = stored.withColumn("ty", F.floor(F.col("y0") / grid)).withColumn("tx", F.floor(F.col("x0") / grid))
-    return needs.join(keyed.drop("height", "width"), ["plane_id", "ty", "tx"])
+    needs = plan.join(sizes, "plane_id").withColumn("ty", F.explode(F.sequence(F.floor(F.col("py0") / grid), F.floor((F.col("y1") - 1) / grid)))).withColumn("tx", F.explode(F.sequence(F.floor(F.col("px0") / grid), F.floor((F.col("x1") - 1) / grid))))
+    keyed = stored.join(sizes, "plane_id").withColumn("ty", F.floor(F.col("y0") / grid)).withColumn("tx", F.floor(F.col("x0") / grid))
+    return needs.drop("grid").join(keyed.drop("height", "width", "grid"), ["plane_id", "ty", "tx"])
 
 
 def local_scan(stored: DataFrame, config: K.LocalConfig = K.LocalConfig()) -> DataFrame:
@@ -61,8 +62,91 @@ def per_plane(tiles: DataFrame, work: Callable[[np.ndarray], list[dict]], schema
     return tiles.groupBy("plane_id").applyInPandas(run, f"plane_id string, {schema}")
 
 
+LINES = "line int, orientation string, source string, pos int, start int, end int, low double, contrast double"
+
+
 def axial_screen(tiles: DataFrame) -> DataFrame:
-    return per_plane(tiles, K.axial_screen, "orientation string, source string, pos int, start int, end int, exact_rows int, median_jump double, native_line int, verified boolean, unique boolean")
+    """Lines that an overview of each plane suggests, each held against the original samples around it. tiles: stored
+    tiles, read once for the overview and once for the samples near lines."""
+    checked = verify_lines(tiles, per_plane(tiles, K.axial_proposals, LINES))
+    schema = "plane_id string, orientation string, source string, pos int, start int, end int, exact_rows int, median_jump double, native_line int, verified boolean, unique boolean"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [{**r, "native_line": None if pd.isna(r["native_line"]) else int(r["native_line"])} for r in group.to_dict("records")]
+        return pd.DataFrame(K.mark_unique(rows), columns=names, dtype=object)
+
+    return checked.groupBy("plane_id").applyInPandas(choose, schema)
+
+
+def line_samples(tiles: DataFrame, lines: DataFrame) -> DataFrame:
+    """plane_id, line, place, samples: for each row (column, if horizontal) of samples along a line those across it,
+    from `place` on, of the strip HALF to either side. A tile serves the lines whose strips it touches; a strip's rows are
+    put together from its tiles."""
+    across = lambda size: (F.greatest(F.lit(0), F.col("pos") * K.BLOCK - K.HALF), F.least(F.col(size), F.col("pos") * K.BLOCK + K.HALF))
+    along = lambda size: (F.col("start") * K.BLOCK, F.least(F.col(size), F.col("end") * K.BLOCK))
+    upright = F.col("orientation") == "vertical"
+    side = lambda k, size_v, size_h: F.when(upright, k(size_v)).otherwise(k(size_h))
+    shapes = tiles.select("plane_id", "height", "width").distinct()
+    strips = lines.join(shapes, "plane_id").select(
+        "plane_id", "line", upright.alias("upright"),
+        side(lambda s: across(s)[0], "width", "height").alias("c0"), side(lambda s: across(s)[1], "width", "height").alias("c1"),
+        side(lambda s: along(s)[0], "height", "width").alias("r0"), side(lambda s: along(s)[1], "height", "width").alias("r1"),
+    )
+    ends = lambda c, n: F.when(F.col("upright"), F.col(c)).otherwise(F.col(n))
+    met = tiles.select("plane_id", "y0", "x0", "h", "w", "data").join(strips, "plane_id").where(
+        (ends("x0", "y0") < F.col("c1")) & (ends("x0", "y0") + ends("w", "h") > F.col("c0")) & (ends("y0", "x0") < F.col("r1")) & (ends("y0", "x0") + ends("h", "w") > F.col("r0"))
+    )
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                part = np.frombuffer(r.data, "<u2").reshape(r.h, r.w)
+                part, row, col = (part, r.y0, r.x0) if r.upright else (part.T, r.x0, r.y0)
+                a, b, c, d = max(r.r0, row), min(r.r1, row + part.shape[0]), max(r.c0, col), min(r.c1, col + part.shape[1])
+                piece = part[a - row : b - row, c - col : d - col].astype(np.float64)
+                yield pd.DataFrame({"plane_id": r.plane_id, "line": r.line, "row": np.arange(a, b), "place": c, "samples": list(piece)})
+
+    pieces = met.mapInPandas(cut, "plane_id string, line int, row long, place long, samples array<double>")
+    whole = pieces.groupBy("plane_id", "line", "row").agg(F.sort_array(F.collect_list(F.struct("place", "samples"))).alias("p"))
+    return whole.select("plane_id", "line", "row", F.col("p")[0]["place"].alias("place"), F.flatten(F.transform("p", lambda x: x["samples"])).alias("samples"))
+
+
+def sharpest_jump(samples: Column, contrast: Column) -> Column:
+    """Of the places with WIDE_SIDE samples on either side the one with the greatest difference between the means of
+    NEAR_SIDE samples on either side (the first of equal ones): struct of near, minus the place, bright (the greater of
+    those means), far (the difference of the means of WIDE_SIDE samples). Differences are in units of the contrast."""
+
+    def mean(p: Column, offset: int, n: int) -> Column:
+        return F.aggregate(F.slice(samples, p + offset + 1, F.lit(n)), F.lit(0.0), lambda acc, v: acc + v) / n
+
+    def at(p: Column) -> Column:
+        before, after = mean(p, -K.NEAR_SIDE, K.NEAR_SIDE), mean(p, 0, K.NEAR_SIDE)
+        far = F.abs(mean(p, 0, K.WIDE_SIDE) - mean(p, -K.WIDE_SIDE, K.WIDE_SIDE)) / contrast
+        return F.struct((F.abs(after - before) / contrast).alias("near"), (-p).alias("minus"), F.greatest(before, after).alias("bright"), far.alias("far"))
+
+    n = F.size(samples)
+    places = F.when(n > 2 * K.WIDE_SIDE, F.sequence(F.lit(K.WIDE_SIDE), n - K.WIDE_SIDE))
+    return F.array_max(F.transform(places, at))
+
+
+def verify_lines(tiles: DataFrame, lines: DataFrame, least: int = 20) -> DataFrame:
+    """lines with exact_rows, median_jump, native_line, verified. A row of samples supports a line if its sharpest jump is
+    one on either scale, beside bright samples; the line's place is where most supporting rows have theirs (the first of
+    equal ones), and the rows within TOLERANCE of it are exact. Fewer than `least` supporting rows are none. Rows are
+    means of themselves and both neighbours, mirrored at the strip's ends."""
+    own, on = Window.partitionBy("plane_id", "line").orderBy("row"), ["plane_id", "line"]
+    rows = line_samples(tiles, lines).join(lines.select(*on, "low", "contrast"), on)
+    up, down = F.lag("samples").over(own), F.lead("samples").over(own)
+    three = rows.withColumn("up", F.coalesce(up, down, "samples")).withColumn("down", F.coalesce(down, up, "samples"))
+    mean = F.transform(F.arrays_zip("up", "samples", "down"), lambda x: (x["up"] + x["samples"] + x["down"]) / 3)
+    jumps = three.select(*on, "place", "low", "contrast", mean.alias("m")).select(*on, "place", "low", sharpest_jump(F.col("m"), F.col("contrast")).alias("j"))
+    support = jumps.where((F.col("j.near") > K.NEAR_JUMP) & (F.col("j.bright") > F.col("low")) & (F.col("j.far") > K.WIDE_JUMP)).select(*on, (F.col("place") - F.col("j.minus")).alias("at"), F.col("j.near").alias("near"))
+    per = support.groupBy(*on, "at").agg(F.count(F.lit(1)).alias("n"))
+    modes = per.groupBy(*on).agg(F.sum("n").alias("rows"), (-F.max(F.struct("n", (-F.col("at")).alias("minus")))["minus"]).alias("native_line")).where(F.col("rows") >= least)
+    exact = support.join(modes, on).where(F.abs(F.col("at") - F.col("native_line")) <= K.TOLERANCE).groupBy(*on, "native_line").agg(F.count(F.lit(1)).alias("exact_rows"), F.percentile("near", F.lit(0.5)).alias("median_jump"))
+    out = lines.join(exact, on, "left").withColumn("exact_rows", F.coalesce("exact_rows", F.lit(0)).cast("int")).withColumn("median_jump", F.coalesce("median_jump", F.lit(0.0)))
+    return out.withColumn("native_line", F.col("native_line").cast("int")).withColumn("verified", F.col("exact_rows") >= K.CONFIRM_ROWS)
 
 
 def alternating_bands(tiles: DataFrame, config: K.BandConfig = K.BandConfig()) -> DataFrame:

@@ -90,7 +90,9 @@ def packets(records: DataFrame, sessions: DataFrame, views: DataFrame) -> DataFr
     return bound.join(owner.drop("target"), "pixel_sha256", "left").join(cover, "session", "left").withColumn("quality_decision", F.lit(None).cast("string"))
 
 
-def verify_region(parent: DataFrame, child: DataFrame, x0: int, y0: int) -> DataFrame:
-    """Samples (y, x, v) in which a crop differs from its parent at the crop's place: empty if it is exact."""
+def verify_region(parent: DataFrame, child: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """side, y, x, v: samples of the crop that aren't the parent's (`crop`), and samples of the parent's box that the crop
+    lacks or has otherwise (`missing`), by the parent's places. Empty if and only if the crop is exact."""
     placed = child.select((F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "v")
-    return placed.exceptAll(parent.select("y", "x", "v"))
+    box = parent.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)).select("y", "x", "v")
+    return L.differences(box, placed).select(F.when(F.col("side") == "left", "missing").otherwise("crop").alias("side"), "y", "x", "v")

@@ -48,18 +48,19 @@ def label_overlap(boxes: DataFrame, labels: DataFrame, step: int) -> DataFrame:
     return cells_of(boxes, step).join(labels, ["cy", "cx"]).groupBy("box_id", "code").agg(F.sum("overlap").alias("area"))
 
 
-def shares(boxes: DataFrame, labels: DataFrame, step: int) -> DataFrame:
-    """box_id and the area shares of the box by label: core (1), neighbour (4), background (3)."""
-    area = label_overlap(boxes, labels, step)
-    part = lambda code: F.coalesce(F.sum(F.when(F.col("code") == code, F.col("area"))), F.lit(0)) / F.sum("area")
-    return area.groupBy("box_id").agg(part(1).alias("core"), part(4).alias("neighbour"), part(3).alias("background"))
-
-
 def attribute(candidates: DataFrame, labels: DataFrame, step: int, margin: int, width: int, height: int) -> DataFrame:
-    """box_id, shares of the box and of its surroundings (box grown by `margin`, clipped), scope."""
-    grown = candidates.select("box_id", F.greatest(F.lit(0), F.col("x0") - margin).alias("x0"), F.greatest(F.lit(0), F.col("y0") - margin).alias("y0"), F.least(F.lit(width), F.col("x1") + margin).alias("x1"), F.least(F.lit(height), F.col("y1") + margin).alias("y1"))
-    context = shares(grown, labels, step).select("box_id", F.col("core").alias("core_context"), F.col("neighbour").alias("neighbour_context"))
-    out = shares(candidates, labels, step).join(context, "box_id")
+    """box_id, shares of the box and of its surroundings (box grown by `margin`, clipped), scope. The grown box is listed
+    in the cells it touches once, with its own overlap and the box's, so that labels are met and areas summed once."""
+    sides = {"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"}
+    low, high = lambda c: F.greatest(F.lit(0), F.col(c) - margin), lambda c, n: F.least(F.lit(n), F.col(c) + margin)
+    grown = candidates.select("box_id", *[F.col(c).alias(b) for c, b in sides.items()], low("x0").alias("x0"), low("y0").alias("y0"), high("x1", width).alias("x1"), high("y1", height).alias("y1"))
+    met = cells_of(grown, step).withColumnRenamed("overlap", "context").join(labels, ["cy", "cx"])
+    side = lambda lo, hi, c: F.greatest(F.lit(0), F.least(F.col(hi), (F.col(c) + 1) * step) - F.greatest(F.col(lo), F.col(c) * step))
+    own = met.withColumn("own", side("bx0", "bx1", "cx") * side("by0", "by1", "cy"))
+    part = lambda code, area: F.coalesce(F.sum(F.when(F.col("code") == code, F.col(area))), F.lit(0)) / F.nullif(F.sum(area), F.lit(0))
+    out = own.groupBy("box_id").agg(
+        F.sum("own").alias("area"), part(1, "own").alias("core"), part(4, "own").alias("neighbour"), part(3, "own").alias("background"), part(1, "context").alias("core_context"), part(4, "context").alias("neighbour_context")
+    ).where("area > 0").drop("area")
     return out.withColumn("scope", scope(F.col("core"), F.col("core_context"), F.col("neighbour"), F.col("neighbour_context"), F.col("background")))
 
 

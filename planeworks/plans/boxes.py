@@ -38,7 +38,7 @@ def labels(spark: SparkSession) -> DataFrame:
     return cells.withColumn("code", F.when(cx < 20, 1).when(cx < 35, 2).when(cx < 70, 3).when((cx + cy) % 7 == 0, 4).otherwise(0))
 
 
-_SHAPES = "sh AS (SELECT p_partkey, CAST(300 + p_partkey * 37 % 900 AS BIGINT) AS height, CAST(200 + p_partkey * 53 % 1100 AS BIGINT) AS width FROM part WHERE p_size <= 5)"
+_SHAPES = "sh AS (SELECT p_partkey, CAST(300 + p_partkey * 37 % 900 AS BIGINT) AS height, CAST(200 + p_partkey * 53 % 1100 AS BIGINT) AS width FROM part)"
 _PLAN = f"""WITH {_SHAPES}, n AS (SELECT *, greatest(0, height - 256) AS ly, greatest(0, width - 256) AS lx FROM sh),
 g AS (SELECT *, ly // 192 + 1 + CASE WHEN ly % 192 <> 0 THEN 1 ELSE 0 END AS ny, lx // 192 + 1 + CASE WHEN lx % 192 <> 0 THEN 1 ELSE 0 END AS nx FROM n),
 y AS (SELECT *, unnest(range(0, ny)) AS iy FROM g), t AS (SELECT *, unnest(range(0, nx)) AS ix FROM y),
@@ -126,7 +126,7 @@ def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.scope_counts(_attributed(spark, sf_dir))
 
 
-@query(f"""WITH {E}, l AS (SELECT cy, cx, CAST((cy * 5 + cx * 3) % 5 AS INTEGER) AS code FROM range(2000) a(cy), range(8) b(cx)), r AS (SELECT unnest([{{'region': 'core', 'code': 1}}, {{'region': 'support', 'code': 1}}, {{'region': 'support', 'code': 2}}, {{'region': 'near', 'code': 3}}, {{'region': 'near', 'code': 4}}], recursive := true))
+@query(f"""WITH {E}, l AS (SELECT cy, cx, CAST((cy * 5 + cx * 3) % 5 AS INTEGER) AS code FROM (SELECT unnest(range(0, max(y) // 8 + 1)) AS cy FROM e), range(8) b(cx)), r AS (SELECT unnest([{{'region': 'core', 'code': 1}}, {{'region': 'support', 'code': 1}}, {{'region': 'support', 'code': 2}}, {{'region': 'near', 'code': 3}}, {{'region': 'near', 'code': 4}}], recursive := true))
 SELECT region, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (v = 0) AS zero_pixels, round(avg(v), 6) AS mean FROM e JOIN l ON y // 8 = cy AND x // 8 = cx JOIN r USING (code) GROUP BY region""")
 def region_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.embedding_plane(spark, sf_dir)
@@ -147,7 +147,7 @@ def topk_per_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BANDS = "bd AS (SELECT l_suppkey AS grp, l_orderkey * 8 + l_linenumber AS id, CAST(l_orderkey % 12 AS DOUBLE) AS angle, l_partkey % 100 AS s0, l_partkey % 100 + 40 + l_linenumber * 4 AS s1, l_orderkey % 2000 AS normal, CAST(l_linenumber AS BIGINT) AS width FROM lineitem)"
 _PAIRS = f"""WITH {_BANDS}, pr AS (SELECT a.grp, a.id AS a, b.id AS b, abs(a.normal - b.normal) AS spacing FROM bd a JOIN bd b ON a.grp = b.grp AND a.id < b.id
-  WHERE abs(((a.angle - b.angle + 90) % 180 + 180) % 180 - 90) <= 3 AND greatest(0, least(a.s1, b.s1) - greatest(a.s0, b.s0)) / least(a.s1 - a.s0, b.s1 - b.s0) >= 0.5 AND abs(a.normal - b.normal) > a.width + b.width AND abs(a.normal - b.normal) <= 100)"""
+  WHERE abs(((a.angle - b.angle + 90) % 180 + 180) % 180 - 90) <= 3 AND greatest(0, least(a.s1, b.s1) - greatest(a.s0, b.s0)) / least(a.s1 - a.s0, b.s1 - b.s0) >= 0.5 AND abs(a.normal - b.normal) > a.width + b.width)"""
 
 
 def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,14 +169,23 @@ def straight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.straight_pairs(X.parallel_pairs(bands, "grp"), bands.where("id % 3 <> 0")).select("grp", "a", "b", "spacing")
 
 
-@query()
+_LINES = """l AS (SELECT grp, id, pos, s, e, row_number() OVER (PARTITION BY grp ORDER BY e - s DESC, pos, s, id) AS r FROM (SELECT l_suppkey AS grp, l_orderkey * 8 + l_linenumber AS id, l_partkey % 300 * 2 AS pos, l_suppkey % 90 + l_orderkey % 50 AS s, l_suppkey % 90 + l_orderkey % 50 + 1 + l_linenumber * 3 AS e FROM lineitem)),
+g(grp, r, kept, id, hit) AS (SELECT DISTINCT grp, CAST(0 AS BIGINT), CAST([] AS STRUCT(pos BIGINT, k BIGINT, s BIGINT, e BIGINT, id BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM l UNION ALL
+  SELECT grp, r, CASE WHEN hit IS NULL THEN list_append(kept, {'pos': CAST(pos AS BIGINT), 'k': CAST(r AS BIGINT), 's': CAST(s AS BIGINT), 'e': CAST(e AS BIGINT), 'id': CAST(id AS BIGINT)}) ELSE kept END, id, hit
+  FROM (SELECT l.*, g.kept, list_sort(list_filter(g.kept, lambda q: abs(q.pos - l.pos) <= 3 AND l.s < q.e AND q.s < l.e))[1].id AS hit FROM g JOIN l ON l.grp = g.grp AND l.r = g.r + 1)),
+nms AS (SELECT l.grp, l.id, l.pos, l.s AS start, l.e AS "end", g.hit IS NULL AS keep, g.hit AS duplicate_of FROM l JOIN g ON g.grp = l.grp AND g.r = l.r)"""
+
+
+@query(f"WITH RECURSIVE {_LINES} SELECT * FROM nms")
 def greedy_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent suppression; tests hold it against a plain loop."""
-    lines = P.boxes(spark, sf_dir).select("grp", F.col("box_id").alias("id"), (F.col("x0") * 4).alias("pos"), F.col("y0").alias("start"), F.col("y1").alias("end"))
+    """Order-dependent suppression: lines of positions two apart whose spans overlap meet."""
+    k = F.col("l_orderkey")
+    start = F.col("l_suppkey") % 90 + k % 50
+    lines = P.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), (k * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 300 * 2).alias("pos"), start.alias("start"), (start + 1 + F.col("l_linenumber") * 3).alias("end"))
     return S.greedy_lines(lines, "grp")
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINES} SELECT grp, coalesce(duplicate_of, id) AS id, count(*) AS lines FROM nms GROUP BY ALL")
 def unique_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept lines of each group with the number that each stands for."""
     nms = greedy_nms(spark, sf_dir)

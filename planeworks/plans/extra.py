@@ -57,13 +57,13 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.boxes(spark, sf_dir).withColumn("i", (F.row_number().over(own.orderBy("box_id", "x0", "x1")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(own))
 
 
-@query(f"WITH {BX}, m AS (SELECT grp, box_id AS id, (x1 - x0) AS score, CASE WHEN box_id % 2 = 0 THEN 0 ELSE 1 END AS k FROM bx WHERE box_id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, k, id) AS rank FROM m) SELECT grp, id, score, CAST(k AS INTEGER) AS kind_order, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND grp % 7 <> 0")
+@query(f"WITH {BX}, m AS (SELECT grp, box_id AS id, (x1 - x0) AS score, CASE WHEN box_id % 2 = 0 THEN 0 ELSE 1 END AS k FROM bx), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, k, id) AS rank FROM m) SELECT grp, id, score, CAST(k AS INTEGER) AS kind_order, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def merged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = P.boxes(spark, sf_dir).select("grp", F.col("box_id").alias("id"), (F.col("x1") - F.col("x0")).alias("score"))
     return S.merge_topk([sized.where("id % 2 = 0"), sized.where("id % 2 <> 0")], 5, "score", "grp").select("grp", "id", "score", "kind_order", "rank")
 
 
-@query(f"""WITH {E} SELECT y, x, x >= 8 AND y >= 8 AND x <= 56 AND y <= 492 AND pow((x - 32) / 32.0, 2) + pow((y - 250) / 250.0, 2) <= 0.49 AS central, round(10 + x * cos(radians(30)) - y * sin(radians(30)), 4) AS rx, round(20 + x * sin(radians(30)) + y * cos(radians(30)), 4) AS ry FROM e""")
+@query(f"""WITH {E} SELECT y, x, x >= 8 AND y >= 8 AND x <= 56 AND y <= h - 8 AND pow((x - 32) / 32.0, 2) + pow((y - h / 2.0) / (h / 2.0), 2) <= 0.7 * 0.7::DOUBLE AS central, round(10 + x * cos(radians(30)) - y * sin(radians(30)), 4) AS rx, round(20 + x * sin(radians(30)) + y * cos(radians(30)), 4) AS ry FROM e, (SELECT max(y) + 1 AS h FROM e)""")
 def frame_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     rx, ry = G.rotate_point(x, y, F.lit(30.0), F.lit(10), F.lit(20))
@@ -109,12 +109,14 @@ def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.audit(owned, views, files, owned.where("session % 5 = 0"))
 
 
-@query(f"WITH {E}, c AS (SELECT y - 7 AS y, x - 5 AS x, v + CASE WHEN x = 9 AND y % 50 = 0 THEN 1 ELSE 0 END AS v FROM e WHERE y >= 7 AND x >= 5 AND x < 40) SELECT c.y + 7 AS y, c.x + 5 AS x, c.v FROM c JOIN e ON e.y = c.y + 7 AND e.x = c.x + 5 WHERE c.v <> e.v")
+@query(f"""WITH {E.replace(" AS (", " AS MATERIALIZED (", 1)}, c AS (SELECT y, x, v, v + CASE WHEN x = 9 AND y % 50 = 0 THEN 1 ELSE 0 END AS w FROM e WHERE y >= 7 AND y < 300 AND x >= 5 AND x < 40)
+SELECT 'missing' AS side, y, x, v FROM c WHERE w <> v OR (x = 20 AND y % 60 = 0) UNION ALL SELECT 'crop', y, x, w FROM c WHERE w <> v AND NOT (x = 20 AND y % 60 = 0)""")
 def region_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crop of rows 7 to 299 and columns 5 to 39 in which some samples are changed and some are missing."""
     e = P.embedding_plane(spark, sf_dir)
     changed = F.col("v") + F.when((F.col("x") == 9) & (F.col("y") % 50 == 0), 1).otherwise(0)
-    child = e.where("y >= 7 AND x >= 5 AND x < 40").select((F.col("y") - 7).alias("y"), (F.col("x") - 5).alias("x"), changed.alias("v"))
-    return session.verify_region(e, child, 5, 7)
+    child = e.where("y >= 7 AND y < 300 AND x >= 5 AND x < 40 AND NOT (x = 20 AND y % 60 = 0)").select((F.col("y") - 7).alias("y"), (F.col("x") - 5).alias("x"), changed.alias("v"))
+    return session.verify_region(e, child, 5, 7, 40, 300)
 
 
 @query("WITH o AS (SELECT o_orderkey % 500 AS k, o_orderstatus AS s FROM orders) SELECT 'left' AS side, k, s FROM (SELECT k, s FROM o WHERE k < 300 EXCEPT ALL SELECT k, s FROM o WHERE k >= 5) UNION ALL SELECT 'right', k, s FROM (SELECT k, s FROM o WHERE k >= 5 EXCEPT ALL SELECT k, s FROM o WHERE k < 300)")

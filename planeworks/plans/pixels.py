@@ -238,11 +238,12 @@ def modal_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.mode_first(W.argmax_first(P.embedding_plane(spark, sf_dir), "y", "x", "v"), "pos")
 
 
-@query("""WITH f AS (SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem GROUP BY 1)
-SELECT l_returnflag, n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(quantile_cont(abs(l_extendedprice - slope * l_quantity - intercept), 0.9), 4) AS p90_abs FROM lineitem JOIN f USING (l_returnflag) GROUP BY ALL""")
+@query("""WITH f AS (SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem GROUP BY 1),
+r AS (SELECT l_returnflag, n, slope, intercept, l_extendedprice - slope * l_quantity - intercept AS res FROM lineitem JOIN f USING (l_returnflag)), m AS (SELECT l_returnflag, median(res) AS middle FROM r GROUP BY 1)
+SELECT l_returnflag, n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(quantile_cont(abs(res), 0.9), 4) AS p90_abs, round(quantile_cont(abs(res - middle), 0.5), 4) AS mad FROM r JOIN m USING (l_returnflag) GROUP BY ALL""")
 def line_fit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.line_fit(P.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", "l_returnflag")
-    return rounded(out, "slope", "intercept", "p90_abs", digits=4)
+    return rounded(out, "slope", "intercept", "p90_abs", "mad", digits=4)
 
 
 @query(f"WITH {V}, q AS (SELECT ntile(4) OVER (ORDER BY pos) AS quarter, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS mark FROM sig) SELECT CAST(quarter AS INTEGER) AS quarter, count(*) AS n, round(avg(mark), 6) AS support FROM q GROUP BY 1")

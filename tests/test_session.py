@@ -47,8 +47,12 @@ def test_report_audit_packet(spark, sessions):
 def test_region_is_exact(spark):
     parent = spark.range(600).select((F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"), (F.col("id") % 7).alias("v"))
     child = parent.where("x between 5 and 9 and y between 3 and 8").select((F.col("y") - 3).alias("y"), (F.col("x") - 5).alias("x"), "v")
-    assert S.verify_region(parent, child, 5, 3).count() == 0
-    assert S.verify_region(parent, child.withColumn("v", F.col("v") + (F.col("x") == 0).cast("int")), 5, 3).count() == 6
+    x1, y1 = (5 + child.agg(F.max("x")).first()[0] + 1), (3 + child.agg(F.max("y")).first()[0] + 1)
+    assert S.verify_region(parent, child, 5, 3, x1, y1).count() == 0
+    changed = S.verify_region(parent, child.withColumn("v", F.col("v") + (F.col("x") == 0).cast("int")), 5, 3, x1, y1)
+    assert {r.side: r["count"] for r in changed.groupBy("side").count().collect()} == {"crop": 6, "missing": 6}
+    lacking = S.verify_region(parent, child.where("x <> 0"), 5, 3, x1, y1).collect()
+    assert {(r.side, r.x) for r in lacking} == {("missing", 5)} and len(lacking) == 6
 
 
 def test_interpolation_is_numpy(spark):
