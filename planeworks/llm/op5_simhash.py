@@ -26,9 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeworks.llm.components import connected_components
-from planeworks.llm.text import LOWER_BYTES, SPACE, id_text, map_slices, shared_dir, words_of
+from planeworks.llm.text import LOWER_BYTES, SPACE, bounded, id_text, map_slices, shared_dir, words_of
 
 SHINGLE, DISTANCE, PARTS, SEED = 4, 4, 3, 42
+#: Comparisons held at once (about 30 bytes each), and rows (17 bytes each) that a task of comparisons is meant for.
+COMPARISONS, BUCKET_ROWS = 1 << 18, 1 << 20
+#: Rows of ids that are broadcast at most, once counted.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -152,7 +156,7 @@ class _Forest:
             np.minimum.at(self.up, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
 
 
-def link_within(fp: np.ndarray, anchor: np.ndarray, home: np.ndarray, distance: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def link_within(fp: np.ndarray, anchor: np.ndarray, home: np.ndarray, distance: int, block: int = COMPARISONS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (fp, fp) of the links found at these anchors. `block` bounds the comparisons held at once."""
     values, code = np.unique(fp, return_inverse=True)
     forest = _Forest(len(values))
@@ -198,37 +202,52 @@ def link_within(fp: np.ndarray, anchor: np.ndarray, home: np.ndarray, distance:
     return values[own], values[root[own]]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) whose closure is that of all links."""
+def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, n: int | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp; n of them, counted if not given) whose closure is that of all links. Anchors are dealt
+    into buckets of about BUCKET_ROWS rows; `copies` is how many anchors keep a fingerprint on average."""
     spark = fps.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = fps.count() if n is None else n
+    some = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
+    copies = sum(len(anchors_of(some, list(x), distance // parts, 1)[0]) for x in np.array_split(np.arange(9), parts)) // 1000
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * copies // BUCKET_ROWS))
     dealt = replicate(fps, distance, parts).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"))
 
     def join(table: pa.Table) -> pa.Table:
         a, b = link_within(table["fp"].to_numpy(), table["anchor"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), distance)
         return pa.table({"a": a, "b": b})
 
-    return dealt.groupBy("bucket").applyInArrow(join, "a long, b long")
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable over links, the document itself included)."""
+    """doc_id, fp, component_id (the least doc_id reachable over links, the document itself included). What is joined is
+    written first, so that both sides of each join are plain scans, whose hot keys Spark can split at run time."""
     spark = docs.sparkSession
-    folder = shared_dir(spark, "fingerprints")
-    fingerprints(docs, id_col, text_col, shingle, seed).write.parquet(folder)
-    found = spark.read.parquet(folder)
-    least = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected_components(links(least.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), distance, parts))
-    member = least.join(joined, least.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        folder = shared_dir(spark, name)
+        table.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    found = kept(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    least = kept(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    n = least.count()
+    spread = least.select("fp").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)))
+    joined = connected_components(links(spread, distance, parts, n))
+    member = kept(least.join(joined, least.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "members")
+    roots = kept(member.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     return found.join(member.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The rows of docs, all columns, but those of documents that aren't their component's least doc_id. Rows that share
-    a doc_id are one document; rows without one stay."""
+    a doc_id are one document; rows without one stay. An empty table stays empty. The ids that go are broadcast if they
+    are at most `broadcast_rows`; beyond that the rows are joined with them by id."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    folder = shared_dir(docs.sparkSession, "near-copies")
+    gone.write.parquet(folder)
+    gone = bounded(docs.sparkSession.read.parquet(folder), broadcast_rows)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
