@@ -12,8 +12,9 @@
 5. Matched ranges are united per document.
 
 A passage in very many documents gives each of them a few rows (one a seed), not one a window. Seeds and term counts
-follow the benchmark's size, not the corpus': they are broadcast while they have at most `broadcast_rows` rows, and
-beyond that Spark joins them as it does any table.
+follow the benchmark's size, not the corpus': they are broadcast while they have at most `broadcast_rows` rows. Beyond
+that they are joined with narrow rows (document, place, term), and a document's words meet only its own postings, so that
+no exchange carries words for every word. Rows are told apart by their id and a 256-bit digest of their text.
 
 Defined cases: null texts have no words; items without words or id are no items; equal rows count alike and stay
 separate rows; an empty benchmark hits nothing; an empty table gives no rows. Other columns are never read.
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planeworks.llm.text import shared_dir
+from planeworks.llm.text import bounded, shared_dir
 
 WINDOW, NEAR, BROADCAST_ROWS = 10, 0.8, 200_000
 #: Bytes between words, in text with ASCII capitals lowered.
@@ -39,13 +40,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, _BETWEEN), "")
 
 
-def _bounded(table: DataFrame, most: int) -> DataFrame:
-    """Broadcast only what has been counted to be small."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def key_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("-")), docs[text_col])
+    """32 bytes that rows of equal id and text share; null and empty differ."""
+    text = docs[text_col].cast("string")
+    return F.unhex(F.sha2(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.when(text.isNull(), F.lit(" -")).otherwise(F.concat(F.lit(" "), text))), 256))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,11 +68,18 @@ def around(terms: Column, place: Column, window: int) -> Column:
     return F.transform(F.sequence(place - (window - 1), place + (window - 1)), lambda i: F.when(i >= 0, F.get(terms, i)))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
-    """Writes and reads back the postings of `terms` (column term): doc_id, key, term, place, around."""
-    spots = docs.select("doc_id", "key", "words", F.posexplode("words").alias("place", "term"))
-    spots.join(terms, "term").select("doc_id", "key", "term", F.col("place").cast("long").alias("place"), around(F.col("words"), F.col("place"), window).alias("around")).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+def build_index(docs: DataFrame, terms: DataFrame, folder: str, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Writes and reads back the postings of `terms` (column term): key, term, place, around."""
+    spark = docs.sparkSession
+    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = docs.select("key", "words", F.posexplode("words").alias("place", "term")).join(F.broadcast(terms), "term")
+    else:
+        narrow = shared_dir(spark, "narrow-postings")
+        docs.select("key", F.posexplode("words").alias("place", "term")).join(terms, "term").select("key", "place", "term").write.parquet(narrow)
+        own = spark.read.parquet(narrow).groupBy("key").agg(F.collect_list(F.struct("place", "term")).alias("own"))
+        found = docs.select("key", "words").join(own, "key").select("key", "words", F.explode("own").alias("one")).select("key", "words", "one.place", "one.term")
+    found.select("key", "term", F.col("place").cast("long").alias("place"), around(F.col("words"), F.col("place"), window).alias("around")).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _run(a: Column, b: Column) -> Column:
@@ -84,13 +89,13 @@ def _run(a: Column, b: Column) -> Column:
 
 
 def match(index: DataFrame, seeds: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
-    """doc_id, key, item_id, lo, hi (document words, inclusive), exact, near: one row a matching (posting, seed)."""
+    """key, item_id, lo, hi (document words, inclusive), exact, near: one row a matching (posting, seed)."""
     hit = index.withColumnRenamed("around", "found").join(seeds.withColumnRenamed("place", "item_place"), "term")
     left = _run(F.reverse(F.slice("found", 1, window - 1)), F.reverse(F.slice("around", 1, window - 1)))
     right = _run(F.slice("found", window + 1, window - 1), F.slice("around", window + 1, window - 1))
     distinct = F.array_compact(F.array_distinct("around"))
     out = hit.select(
-        "doc_id", "key", "item_id",
+        "key", "item_id",
         (F.col("place") - left).alias("lo"), (F.col("place") + right).alias("hi"),
         (left + right + 1 >= F.least(F.lit(window), "item_words")).alias("exact"),
         (F.size(F.array_intersect(F.array_compact("found"), distinct)) >= F.ceil(F.size(distinct) * near)).alias("near"),
@@ -121,12 +126,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.select(F.struct("item_id", F.xxhash64("words").alias("text")).alias("item_id"), "words")
     terms = items.select(F.explode("words").alias("term")).distinct()
     counted = shared_dir(spark, "term-counts")
-    training.select(F.explode("words").alias("term")).join(_bounded(terms, broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).write.parquet(counted)
+    training.select(F.explode("words").alias("term")).join(bounded(terms, broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).write.parquet(counted)
     seed_folder = shared_dir(spark, "seeds")
     seeds_of(items, spark.read.parquet(counted), window).write.parquet(seed_folder)
     seeds = spark.read.parquet(seed_folder)
-    index = build_index(training, _bounded(seeds.select("term").distinct(), broadcast_rows), shared_dir(spark, "postings"), window)
-    matches = match(index, _bounded(seeds, broadcast_rows), window, near)
+    index = build_index(training, seeds.select("term").distinct(), shared_dir(spark, "postings"), window, broadcast_rows)
+    matches = match(index, bounded(seeds, broadcast_rows), window, near)
     hits = hits_of(matches.withColumn("item_id", F.col("item_id")["item_id"]))
     every = training.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
@@ -136,12 +141,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, without an exact phrase match."""
     hit = decontaminate(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
+    folder = shared_dir(docs.sparkSession, "contaminated")
+    hit.write.parquet(folder)
+    hit = bounded(docs.sparkSession.read.parquet(folder), options.get("broadcast_rows", BROADCAST_ROWS))
     return docs.join(hit, key_of(docs, id_col, text_col) == hit["__hit"], "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 ORACLE = r"""
@@ -160,8 +168,17 @@ spots AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)
 ), occ AS (SELECT s.doc_id, s.i, s.k, wins.item_id FROM spots s JOIN wins ON s.win = wins.win AND s.k = wins.k),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM occ) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+named AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM named GROUP BY doc_id),
+terms AS (SELECT DISTINCT unnest(w) AS t FROM b), cnt AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) JOIN terms USING (t) GROUP BY t),
+it AS (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0), place AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM it),
+counted AS (SELECT item_id, w, p, coalesce(n, 0) AS n FROM place LEFT JOIN cnt ON cnt.t = w[p]),
+best AS (SELECT DISTINCT item_id, w, p FROM (SELECT c.item_id, c.w, c.p, row_number() OVER (PARTITION BY s.item_id, s.w, s.p ORDER BY c.n, c.p) AS k FROM place s JOIN counted c ON c.item_id = s.item_id AND c.w = s.w AND c.p BETWEEN s.p AND s.p + least(10, len(s.w)) - 1 WHERE s.p + least(10, len(s.w)) - 1 <= len(s.w)) WHERE k = 1),
+seed AS (SELECT DISTINCT item_id, w[p] AS t, list_distinct(w[greatest(1, p - 9) : p + 9]) AS a FROM best),
+post AS (SELECT doc_id, w[p] AS t, list_distinct(w[greatest(1, p - 9) : p + 9]) AS f FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT t FROM seed)),
+close AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM post JOIN seed USING (t) WHERE len(list_intersect(f, a)) >= ceil(len(a) * CAST(0.8 AS DOUBLE))),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT * FROM close EXCEPT SELECT * FROM named) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
