@@ -6,7 +6,8 @@ are reported only if a part of another class, strong or weak, lies within `scope
 interval join of the parts, on the text and the scope-sized cells that a part's surroundings touch.
 
 Places come from splitting a text by a pattern: the pieces and the matches alternate, so running sums of their lengths
-are the matches' starts. Long texts with many matches cost what they hold, not its square.
+are the matches' starts. Long texts with many matches cost what they hold, not its square; so does masking, which takes
+a text apart into chunks first.
 
 Defined cases: a null or empty text has no spans; repeated rows stay repeated rows (rows are told apart by a number
 given on the scan and written with the parts); an empty table gives no rows. Other columns are never read.
@@ -21,6 +22,8 @@ from planeworks.llm.op8_decontaminate import key_of
 from planeworks.llm.text import shared_dir
 
 SCOPE = 200
+#: Code points of a text that are cut out at once, and rows of stretches that are broadcast at most, once counted.
+CHUNK, BROADCAST_ROWS = 1024, 200_000
 #: Fixed values of the contract: the base kinds, in their order. {n,} says the same as + and dropping shorter matches
 #: where a match is a whole run of its class.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -75,17 +78,17 @@ def _kind_map(values: list) -> Column:
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """row, doc_id, kind, start, end of strong parts, and of weak parts with a part of another class in scope."""
+    """row, key, doc_id, kind, start, end of strong parts, and of weak parts with a part of another class in scope."""
     named = parts.where("kind is not null").withColumn("class", _kind_map([k[3] for k in KINDS])).withColumn("strong", _kind_map([k[4] for k in KINDS]))
     cell = F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)))
-    weak = named.where("not strong").select("row", "doc_id", "kind", "start", "end", "class", cell.alias("cell"))
+    weak = named.where("not strong").select("row", "key", "doc_id", "kind", "start", "end", "class", cell.alias("cell"))
     others = named.select("row", F.col("class").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"), F.floor(F.col("start") / scope).alias("cell"))
     # a part that began in an earlier cell than it touches is met at its start: its length is bounded by looking back
     long = named.where(F.col("end") - F.col("start") > scope).select("row", F.col("class").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / scope) + 1, F.floor(F.col("end") / scope))).alias("cell"))
     near = (F.col("class") != F.col("other")) & (F.col("s") <= F.col("end") + scope) & (F.col("e") >= F.col("start") - scope)
     every = others.unionByName(long.select("row", "other", "s", "e", "cell"))
-    pairs = weak.join(every, ["row", "cell"]).where(near).select("row", "doc_id", "kind", "start", "end").distinct()
-    return named.where("strong").select("row", "doc_id", "kind", "start", "end").unionByName(pairs)
+    pairs = weak.join(every, ["row", "cell"]).where(near).select("row", "key", "doc_id", "kind", "start", "end").distinct()
+    return named.where("strong").select("row", "key", "doc_id", "kind", "start", "end").unionByName(pairs)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, folder: str | None = None) -> DataFrame:
@@ -108,22 +111,48 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
+def stretches_of(found: DataFrame) -> DataFrame:
+    """key, start, end of the maximal stretches of overlapping spans, once for all rows of a key."""
+    one = found.join(found.groupBy("key").agg(F.min("row").alias("row")), ["key", "row"])
+    ahead = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = one.withColumn("fresh", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0))
+    named = fresh.withColumn("stretch", F.sum("fresh").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    return named.groupBy("key", "row", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("key", "start", "end")
+
+
+def masked(text: Column, stretches: Column, mask: str, chunk: int = CHUNK) -> Column:
+    """The text with each stretch (ascending, disjoint) replaced; what stays is cut from chunks of the text, since
+    finding a place in a string takes time in proportion to it."""
+    size = F.char_length(text)
+    starts = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda x: x["end"]))
+    ends = F.concat(F.transform(stretches, lambda x: x["start"]), F.array(size))
+    held = F.struct(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % chunk), F.lit(0)).alias("chunks"), F.arrays_zip(starts.alias("a"), ends.alias("b")).alias("gaps"))
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        number = lambda x: F.floor(x / chunk).cast("int")
+        one = lambda k: F.substr(F.get(chunks, k), F.greatest(a - k * chunk, F.lit(0)) + 1, F.least(b - k * chunk, F.lit(chunk)) - F.greatest(a - k * chunk, F.lit(0)))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(number(a), number(b - 1)), one), "")).otherwise("")
+
+    # a lambda's variable is computed once, however often it is used
+    return F.transform(F.array(held), lambda h: F.array_join(F.transform(h["gaps"], lambda g: cut(h["chunks"], g["a"], g["b"])), mask))[0]
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[secret]", scope: int = SCOPE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All rows and columns of docs; each maximal stretch of overlapping spans is replaced by `mask`, and the column of
-    text lengths, if there is one, follows. Texts without spans are as they were."""
-    found = scan_secrets(docs, id_col, text_col, scope).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("__spans")).withColumnRenamed("key", "__key")
-    joined = docs.join(found, key_of(docs, id_col, text_col) == found["__key"], "left")
-    text = docs[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)).alias("out"))
-        return F.when(x["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    new = F.when(F.col("__spans").isNotNull(), masked).otherwise(text)
-    out = [new.alias(c) if c == text_col else F.when(F.col("__spans").isNotNull(), F.char_length(masked).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == chars_col else docs[c] for c in docs.columns]
-    return joined.select(*out)
+    text lengths, if there is one, follows. Texts without spans are as they were; null texts stay null; an empty table
+    stays empty. Texts' stretches are broadcast if they are at most `broadcast_rows` in all; beyond that they are joined."""
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "stretches")
+    stretches_of(linked(parts_of(docs, id_col, text_col), scope)).write.parquet(folder)
+    stretches = spark.read.parquet(folder)
+    few = stretches.limit(broadcast_rows + 1).count() <= broadcast_rows
+    found = stretches.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__stretches"))
+    joined = docs.join(F.broadcast(found) if few else found, key_of(docs, id_col, text_col) == found["__key"], "left")
+    text, hit = docs[text_col], F.col("__stretches").isNotNull()
+    new = joined.withColumn("__new", F.when(hit, masked(text, F.col("__stretches"), mask)).otherwise(text))
+    out = [F.col("__new").alias(c) if c == text_col else F.when(hit, F.char_length("__new").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == chars_col else docs[c] for c in docs.columns]
+    return new.select(*out)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
