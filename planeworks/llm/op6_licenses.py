@@ -1,16 +1,20 @@
 """License scans with a generalised suffix automaton of licence tokens.
 
 The automaton holds every template's words (phrases are short templates). A text's words are streamed through it and
-give matching statistics: at each word, the longest run of words ending there that occurs in some template. Words that
-no template has reset the state, so only runs of known words are walked. Where a run ends being extended, it is a
-maximal match; matches of `least` words or more are chained, in text order and template order with gaps of at most
-`gap` words, into template spans; a template whose spans cover `cover` of it labels the text. Phrases label it by
-occurring at all.
+give matching statistics: at each word, the longest run of words ending there that occurs in some template, and along
+the suffix links the runs that each template has there. Words that no template has reset the state, so only runs of
+known words are walked. A stretch of equal words of text and template, of `least` words or more and no longer on either
+side, is a match; a template's matches are chained by dynamic programming, in text order and template order with gaps of
+at most `gap` words (overlaps count once), into the span that covers most of it.
+
+Templates label the text best first (share covered, then words covered): one that has `cover` of its words covered does,
+unless half or more of the text's words that it covers are a better one's already. So a notice of one licence isn't also
+that of another whose notice reads nearly alike. Phrases label the text by occurring at all.
 
 Per row and without a shuffle; the automaton is a constant of the code, whose size doesn't depend on the data.
 
-Defined cases: a null or empty text has no words and no labels, score 0; repeated rows stay repeated rows; an empty
-table gives no rows.
+Defined cases: a null or empty text has no words and no labels, score 0; phrases of one word count at each place; phrases
+without words never occur; repeated rows stay repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software",
     "apache": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "lgpl": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
@@ -51,27 +55,26 @@ def tokens_of(text: str) -> list[bytes]:
 
 class Automaton:
     """Suffix automaton of several token lists. A state has the length of its longest string, its suffix link, its
-    transitions, and for every template the end of its first occurrence there."""
+    transitions, and every (template, end) at which its strings occur."""
 
     def __init__(self, templates: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for k, words in enumerate(templates):
             last = 0
             for i, w in enumerate(words):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(k, i + 1)
+                self.ends[last].add((k, i + 1))
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for k, e in self.ends[s].items():
-                up = self.ends[self.link[s]]
-                up[k] = min(e, up.get(k, e))
+            if self.link[s]:
+                self.ends[self.link[s]] |= self.ends[s]
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, w: int) -> int:
@@ -97,6 +100,17 @@ class Automaton:
         self.link[new] = self._split(p, w) if p >= 0 else 0
         return new
 
+    def aligned(self, state: int, n: int, least: int) -> dict[tuple[int, int], int]:
+        """(template, end) -> length of the run that ends there too, of at least `least` words, where the longest match
+        has n words and this state."""
+        found: dict[tuple[int, int], int] = {}
+        while n >= least and state:
+            for place in self.ends[state]:
+                found.setdefault(place, n)
+            state = self.link[state]
+            n = self.length[state]
+        return found
+
     def walk(self, words: list[int]) -> tuple[list[int], list[int]]:
         """Matching statistics: (state, length of the longest match) at the end of each word."""
         nxt, link, length = self.next, self.link, self.length
@@ -119,6 +133,7 @@ class Scanner:
     """The automaton with what its templates mean. scan() reads one text's words."""
 
     def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, least: int = LEAST, gap: int = GAP, cover: float = COVER) -> None:
+        phrases = {p: label for p, label in phrases.items() if tokens_of(p)}
         lists = [tokens_of(x) for x in [*phrases, *templates.values()]]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
         self.lists = [[self.ids[w] for w in x] for x in lists]
@@ -133,36 +148,67 @@ class Scanner:
         for s in sorted(range(len(a.next)), key=lambda s: a.length[s]):
             self.phrases_at[s] = (self.phrases_at[a.link[s]] if s else []) + ends.get(s, [])
         self.sizes = [len(x) for x in self.lists]
+        self.shortest = min([least, *self.sizes[: self.n_phrases]])
 
-    def scan_run(self, words: list[int], first: int, base: list[tuple[int, int]], matches: list[tuple[int, int, int]]) -> None:
-        """Adds (start, phrase) to base and (first word, words, state) of long maximal matches; first: the run's place."""
+    def scan_run(self, words: list[int], first: int, base: list[tuple[int, int]], matches: list[tuple[int, int, int, int]]) -> None:
+        """Adds (start, phrase) to base and (template, first word of the text, of the template, words) of long matches to
+        matches; first: the run's place in the text."""
         states, lengths = self.automaton.walk(words)
+        now: dict[tuple[int, int], int] = {}
         for i, (s, n) in enumerate(zip(states, lengths, strict=True)):
             for k in self.phrases_at[s]:
                 if self.sizes[k] <= n:
                     base.append((first + i + 1 - self.sizes[k], k))
-            if n >= self.least and (i + 1 == len(words) or lengths[i + 1] <= n):
-                matches.append((first + i + 1 - n, n, s))
+            then = self.automaton.aligned(s, n, self.least) if n >= self.least else {}
+            self._ended(now, then, first + i, matches)
+            now = then
+        self._ended(now, {}, first + len(words), matches)
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> dict[int, float]:
-        """Template -> share of its words covered by its best chain."""
-        best: dict[int, float] = {}
+    def _ended(self, now: dict, then: dict, end: int, matches: list[tuple[int, int, int, int]]) -> None:
+        for (k, e), n in now.items():
+            if (k, e + 1) not in then and k >= self.n_phrases:
+                matches.append((k, end - n, e - n, n))
+
+    def chain(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+        """Template -> (its words covered by its best chain, the text's words covered as (start, end))."""
+        best: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for start, n, s in matches:
-            for k, end in self.automaton.ends[s].items():
-                if k >= self.n_phrases:
-                    by.setdefault(k, []).append((start, end - n, n))
+        for k, start, at, n in matches:
+            by.setdefault(k, []).append((start, at, n))
         for k, found in by.items():
-            text_end = template_end = covered = 0
-            for start, at, n in sorted(found):
-                if covered and start - text_end <= self.gap and 0 <= at - template_end <= self.gap and start >= text_end:
-                    covered += n
-                else:
-                    covered = n
-                text_end, template_end = start + n, at + n
-                best[k] = max(best.get(k, 0.0), covered / self.sizes[k])
+            found.sort()
+            # per match: words covered by the best chain that ends with it, the match before, words that it adds
+            chains: list[tuple[int, int, int]] = []
+            low = 0
+            for j, (start, at, n) in enumerate(found):
+                while found[low][0] + self.sizes[k] + self.gap < start:
+                    low += 1
+                top = (n, -1, n)
+                for i in range(low, j):
+                    x, y, m = found[i]
+                    over = max(0, x + m - start, y + m - at)
+                    if over < n and x < start and y < at and start + over - x - m <= self.gap and at + over - y - m <= self.gap and chains[i][0] + n - over > top[0]:
+                        top = (chains[i][0] + n - over, i, n - over)
+                chains.append(top)
+            j = max(range(len(found)), key=lambda j: (chains[j][0], -j))
+            total, spans = chains[j][0], []
+            while j >= 0:
+                end = found[j][0] + found[j][2]
+                spans.append((end - chains[j][2], end))
+                j = chains[j][1]
+            best[k] = (total, spans[::-1])
         return best
 
+    def labels_of(self, chains: dict[int, tuple[int, list[tuple[int, int]]]]) -> set[str]:
+        taken: set[int] = set()
+        found = set()
+        for share, total, k in sorted(((c / self.sizes[k], c, k) for k, (c, _) in chains.items()), key=lambda x: (-x[0], -x[1], x[2])):
+            words = {i for a, b in chains[k][1] for i in range(a, b)}
+            if share >= self.cover and 2 * len(words & taken) < total:
+                found.add(self.labels[k])
+                taken |= words
+        return found
+
 
 def _scan_step(make: Callable[[], Scanner]) -> Callable:
     scanner = make()
@@ -183,7 +229,7 @@ def _scan_step(make: Callable[[], Scanner]) -> Callable:
         stop = known.copy()
         stop[:-1] &= begin[1:] | ~known[1:]
         run_first, run_end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        long = run_end - run_first >= 2
+        long = run_end - run_first >= scanner.shortest
         run_first, run_end = run_first[long], run_end[long]
         row_of = np.searchsorted(before, run_first, side="right") - 1
         n_base, first_word, last_word = [0] * rows, [None] * rows, [None] * rows
@@ -194,34 +240,32 @@ def _scan_step(make: Callable[[], Scanner]) -> Callable:
         while at < len(row_list):
             r = row_list[at]
             base: list[tuple[int, int]] = []
-            matches: list[tuple[int, int, int]] = []
+            matches: list[tuple[int, int, int, int]] = []
             while at < len(row_list) and row_list[at] == r:
                 a = first_list[at]
                 scanner.scan_run(words[a : end_list[at]], a - int(before[r]), base, matches)
                 at += 1
-            covers = scanner.chain(matches) if matches else {}
+            chains = scanner.chain(matches) if matches else {}
             own = {scanner.labels[k] for _, k in base}
             if base:
                 n_base[r] = len(base)
                 first_word[r], last_word[r] = min(base)[0], max(base)[0]
                 base_labels[r] = ",".join(sorted(own))
-            more = {scanner.labels[k] for k, c in covers.items() if c >= scanner.cover}
-            labels[r] = ",".join(sorted(own | more))
-            score[r] = 1.0 if base else round(min(1.0, max(covers.values(), default=0.0)), 6)
-            if covers or base:
-                spans[r] = sorted((a, n) for a, n, _ in matches)
+            labels[r] = ",".join(sorted(own | scanner.labels_of(chains)))
+            score[r] = 1.0 if base else round(max((c / scanner.sizes[k] for k, (c, _) in chains.items()), default=0.0), 6)
+            spans[r] = sorted((scanner.labels[k], a, b - a) for k, (_, own_) in chains.items() for a, b in own_)
         return {
             "doc_id": keys, "n_words": pa.array(np.diff(before)), "n_base": pa.array(n_base, pa.int64()), "first_word": pa.array(first_word, pa.int64()), "last_word": pa.array(last_word, pa.int64()),
             "base_labels": pa.array(base_labels, pa.string()), "labels": pa.array(labels, pa.string()), "score": pa.array(score, pa.float64()),
-            "matches": pa.array([[{"first_word": a, "words": n} for a, n in x] if x else [] for x in spans], pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64())]))),
+            "matches": pa.array([[{"label": k, "first_word": a, "words": n} for k, a, n in x] if x else [] for x in spans], pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())]))),
         }
 
     return step
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, least: int = LEAST, gap: int = GAP, cover: float = COVER) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (long maximal matches)."""
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<first_word: long, words: long>>"
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (of every template's best chain)."""
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, first_word: long, words: long>>"
     return map_slices(id_text(docs, id_col, text_col), lambda: _scan_step(lambda: Scanner(phrases, templates, least, gap, cover)), schema)
 
 
