@@ -5,15 +5,20 @@ use features that the labelled sample associates with toxic texts. P(grade > k)
 all thresholds share the weights w. The expected severity is the sum of the three probabilities.
 
 Features are words and their first 4 to 8 bytes; a feature has two values over the whole text, log(1 + count) and
-log(1 + count per 100 words), so that a stray use in a long text weighs little. `features` of them are kept: those whose document frequencies differ most, by log-likelihood ratio, between the classes of the sample.
+log(1 + count per 100 words), so that a stray use in a long text weighs little. All features of the sample take part.
+The likelihood is penalised by the weights' absolute values, those of a feature by PENALTY over its log-likelihood ratio
+(twice the gain, between the classes of the sample, over one common document frequency), so that most weights are
+exactly zero. A text moves the likelihood by no more than its share of its class, so a feature whose values, so weighed,
+sum to less than its penalty has zero weights at the optimum: such features stay with the executors. Of the rest, the
+fit grows the set of weights that may differ from zero until no other's slope exceeds its penalty.
 
 The sample is bounded: at most `per_class` labelled texts a class (a documented parameter), the least by a hash of
-doc_id, so it doesn't depend on the input's order. Everything else covers all rows. The model (a few thousand
-weights, whatever the input's size) is shipped with the code of the scoring tasks; scoring is per row.
+doc_id, so it doesn't depend on the input's order. Everything else covers all rows. The model (the features with
+weights) is shipped with the code of the scoring tasks; scoring is per row.
 
-Defined cases: null or empty texts have no features and get the severity of an empty text; labels without a text,
-null labels and repeated labels are left out (a repeated doc_id counts once); without labels of both classes every
-text gets severity 0; an empty table gives no rows.
+Defined cases: null or empty texts have no features and get the severity of an empty text; labels without a text and
+null labels are left out; a doc_id counts once, with its largest label and, if it is in `docs` more than once, its least
+text; without labels of both classes every text gets severity 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeworks.llm.text import LOWER_BYTES, SLICE_BYTES, WORD, dictionary, id_text, map_slices, slices, words_of
+from planeworks.llm.text import LOWER_BYTES, WORD, bounded, dictionary, id_text, map_slices, shared_dir, slices, words_of
 
-PER_CLASS, FEATURES, LEVELS, REJECT = 3000, 500, 3, 0.5
-#: Least log-likelihood ratio (twice the gain over one common document frequency) that makes a feature.
-LEAST_GAIN = 20.0
+PER_CLASS, LEVELS, REJECT, PENALTY = 3000, 3, 0.5, 0.02
+#: Log-likelihood ratio from which on a feature, if toxic texts have it more often, counts for a toxic text's grade.
+ASSOCIATED = 20.0
+#: Features that are broadcast at most, once counted.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -72,7 +79,7 @@ def count_features(docs: DataFrame) -> DataFrame:
     """doc_id, feature, n, words of (doc_id, text): all features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, SLICE_BYTES // 4):
+        for part, data, offsets in slices(batches, 1 << 20):
             row, code, distinct = _coded(data, offsets)
             per = [features_of(w) for w in distinct]
             names: dict[bytes, int] = {}
@@ -89,69 +96,133 @@ def count_features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, feature binary, n long, words long")
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, levels: int = LEVELS, steps: int = 500, l2: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of the proportional odds model on sparse rows: the likelihood of the grade, by Adam on the
-    first threshold and the logarithms of the gaps between thresholds. Classes weigh alike."""
-    n = len(grade)
-    share = np.bincount(grade, minlength=levels + 1).astype(float)
-    weight = np.where(grade > 0, 1 / share[1:].sum(), 1 / share[0]) / 2
-    theta = np.concatenate([np.zeros(width), [1.0], np.zeros(levels - 1)])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+def likelihood(theta: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, levels: int = LEVELS) -> tuple[float, np.ndarray]:
+    """(weighed negative log-likelihood, its slope) of the proportional odds model on sparse rows. theta: `width` weights,
+    the first threshold, the logarithms of the gaps between thresholds."""
+    gaps = np.exp(theta[width + 1 :])
+    cut = theta[width] + np.concatenate([[0.0], np.cumsum(gaps)])
+    z = np.bincount(row, theta[col] * value, len(grade))
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for t in range(1, steps + 1):
-        w, gaps = theta[:width], np.exp(theta[width + 1 :])
-        cut = np.concatenate([[theta[width]], theta[width] + np.cumsum(gaps)])
-        z = np.bincount(row, w[col] * value, n)
-        upper = np.where(grade < levels, sigmoid(np.append(cut, np.inf)[grade] - z), 1.0)  # P(grade <= g)
-        lower = np.where(grade > 0, sigmoid(np.append(-np.inf, cut)[grade] - z), 0.0)
-        p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / p * weight, lower * (1 - lower) / p * weight
-        dz = du - dl  # of the negative log-likelihood
-        dcut = np.bincount(grade, -du, levels + 1)[:levels] + np.bincount(grade, dl, levels + 1)[1:]
-        grad = np.concatenate([np.bincount(col, dz[row] * value, width) + l2 * w, [dcut.sum()], gaps * (dcut[::-1].cumsum()[::-1][1:])])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:width], np.concatenate([[theta[width]], theta[width] + np.cumsum(np.exp(theta[width + 1 :]))])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
+    upper = np.where(grade < levels, sigmoid(np.append(cut, np.inf)[grade] - z), 1.0)  # P(grade <= g)
+    lower = np.where(grade > 0, sigmoid(np.append(-np.inf, cut)[grade] - z), 0.0)
+    p = np.maximum(upper - lower, 1e-12)
+    du, dl = upper * (1 - upper) / p * weight, lower * (1 - lower) / p * weight
+    dz = du - dl
+    dcut = np.bincount(grade, -du, levels + 1)[:levels] + np.bincount(grade, dl, levels + 1)[1:]
+    slope = np.concatenate([np.bincount(col, dz[row] * value, width), [dcut.sum()], gaps * dcut[::-1].cumsum()[::-1][1:]])
+    return float(-(weight * np.log(p)).sum()), slope
+
+
+def class_weights(grade: np.ndarray) -> np.ndarray:
+    """Both classes weigh a half, their texts alike."""
+    toxic = grade > 0
+    return np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+
+
+def _descend(theta: np.ndarray, cells: tuple, grade: np.ndarray, weight: np.ndarray, penalty: np.ndarray, levels: int, steps: int) -> np.ndarray:
+    """theta after accelerated proximal steps, whose length follows from the likelihood, with restarts."""
+    width = len(penalty)
+    here, ahead, pace, bend, best = theta, theta, 1.0, 0.05, np.inf
+    for _ in range(steps):
+        at, slope = likelihood(ahead, *cells, grade, weight, width, levels)
+        while True:
+            new = ahead - slope / bend
+            new[:width] = np.sign(new[:width]) * np.maximum(np.abs(new[:width]) - penalty / bend, 0.0)
+            move = new - ahead
+            there, _ = likelihood(new, *cells, grade, weight, width, levels)
+            if there <= at + slope @ move + bend / 2 * (move @ move) + 1e-12 or bend > 1e9:
+                break
+            bend *= 2
+        total = there + float((penalty * np.abs(new[:width])).sum())
+        if total > best:  # too fast: start again from the best so far
+            if pace == 1.0:
+                break
+            ahead, pace = here, 1.0
+            continue
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = new + (pace - 1) / faster * (new - here)
+        gained, here, pace, best, bend = best - total, new, faster, total, bend * 0.97
+        if gained < 1e-8 * abs(best):
+            break
+    return here
+
+
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, penalty: np.ndarray | float = 0.0, levels: int = LEVELS, steps: int = 400, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the proportional odds model on sparse rows, classes weighing alike, each weight's absolute
+    value penalised by its penalty. Only weights whose slope exceeds their penalty join the fit, until none is left out."""
+    penalty = np.broadcast_to(np.asarray(penalty, float), (width,))
+    weight = class_weights(grade)
+    weights, ends, active = np.zeros(width), np.concatenate([[1.0], np.zeros(levels - 1)]), np.zeros(width, bool)
+    for k in range(rounds):
+        _, slope = likelihood(np.concatenate([weights, ends]), row, col, value, grade, weight, width, levels)
+        late = (np.abs(slope[:width]) > penalty * 1.001) & ~active
+        if k and not late.any():
+            break
+        active |= late
+        own = np.flatnonzero(active)
+        place = np.full(width, -1)
+        place[own] = np.arange(len(own))
+        use = active[col]
+        theta = _descend(np.concatenate([weights[own], ends]), (row[use], place[col[use]], value[use]), grade, weight, penalty[own], levels, steps)
+        weights[own], ends = theta[: len(own)], theta[len(own) :]
+    return weights, ends[0] + np.concatenate([[0.0], np.cumsum(np.exp(ends[1:]))])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, penalty: float = PENALTY) -> Model:
     """The model from a bounded sample of labelled texts."""
+    spark = docs.sparkSession
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        folder = shared_dir(spark, name)
+        table.write.parquet(folder)
+        return spark.read.parquet(folder)
+
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
-    chosen = marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(per_class).unionByName(marks.where("toxic = 0").orderBy(by_hash, "doc_id").limit(per_class))
-    picked = {r.doc_id: r.toxic for r in chosen.collect()}  # at most 2 * per_class rows
-    if len(set(picked.values())) < 2:
+    chosen = kept(marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(per_class).unionByName(marks.where("toxic = 0").orderBy(by_hash, "doc_id").limit(per_class)), "labelled")
+    sample = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
+    one = kept(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    n = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         return EMPTY
-    sample = id_text(docs, id_col, text_col).where(F.col("doc_id").isin(sorted(picked)))
-    counted = count_features(sample)
-    toxic = F.col("doc_id").isin(sorted(k for k, t in picked.items() if t))
-    n1 = sum(picked.values())
-    n0 = len(picked) - n1
-    counted = counted.withColumn("toxic", toxic).persist()
-    by = counted.groupBy("feature").agg(F.countDistinct(F.when(F.col("toxic"), F.col("doc_id"))).alias("df1"), F.countDistinct(F.when(~F.col("toxic"), F.col("doc_id"))).alias("df0"))
-    p1, p0 = F.col("df1") / F.lit(float(n1)), F.col("df0") / F.lit(float(n0))
-    both = (F.col("df1") + F.col("df0")) / F.lit(float(n1 + n0))
+    n1, n0 = F.lit(float(n[1])), F.lit(float(n[0]))
+    toxic = one.select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    counted = kept(count_features(one.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")).join(F.broadcast(toxic), "doc_id"), "sample-features")
+    weight = F.when(F.col("toxic"), 0.5 / n1).otherwise(0.5 / n0)
+    by = counted.groupBy("feature").agg(
+        F.count(F.when(F.col("toxic"), 1)).alias("df1"), F.count(F.when(~F.col("toxic"), 1)).alias("df0"),
+        F.sum(weight * F.log1p("n")).alias("counts"), F.sum(weight * F.log1p(100 * F.col("n") / F.col("words"))).alias("rates"),
+    )
+    p1, p0 = F.col("df1") / n1, F.col("df0") / n0
+    both = (F.col("df1") + F.col("df0")) / (n1 + n0)
     term = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(0.0)
     gain = 2 * (term(F.col("df1"), p1, both) + term(F.col("df0"), p0, both) + term(n1 - F.col("df1"), 1 - p1, 1 - both) + term(n0 - F.col("df0"), 1 - p0, 1 - both))
-    best = by.where("df1 + df0 >= 3").withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= LEAST_GAIN).withColumn("more", p1 > p0).orderBy(F.desc("gain"), "feature").limit(features).collect()
-    index = {bytes(r.feature): i for i, r in enumerate(best)}
-    if not index:
-        counted.unpersist()
+    scored = by.withColumn("gain", F.greatest(F.round(gain, 6), F.lit(1e-6)))
+    able = kept(scored.where(F.greatest("counts", "rates") * F.col("gain") > penalty).select("feature", "gain", (p1 > p0).alias("more")), "features")
+    names = able.orderBy("feature").toArrow()
+    if names.num_rows == 0:
         return EMPTY
-    named = counted.sparkSession.createDataFrame([(bytearray(k), i) for k, i in index.items()], "feature binary, col int")
-    cells = counted.join(F.broadcast(named), "feature").select("doc_id", "col", "n", "words").toPandas()  # at most `features` cells a sampled text
-    counted.unpersist()
-    docs_in = {k: i for i, k in enumerate(sorted(picked))}
-    row, col = cells["doc_id"].map(docs_in).to_numpy(np.int64), cells["col"].to_numpy(np.int64)
-    n = cells["n"].to_numpy(float)
-    strong = np.array([r.more for r in best])
-    rate = np.bincount(row, np.where(strong[col], n, 0.0) / cells["words"].to_numpy(float) * 100, len(docs_in))
-    grade = np.array([picked[k] for k in sorted(picked)])
-    terciles = np.quantile(rate[grade == 1], [1 / 3, 2 / 3])
-    grade = np.where(grade == 1, 1 + (rate > terciles[0]) + (rate > terciles[1]), 0)
-    cols, values = values_of(col, n, cells["words"].to_numpy(float), len(index))
-    weights, thresholds = fit_ordinal(np.tile(row, 2), cols, values, grade, 2 * len(index))
-    return Model(index, weights, thresholds)
+    features, gains, more = names["feature"].to_pylist(), names["gain"].to_numpy(), names["more"].to_numpy()
+    width = len(features)
+    met = counted.select("feature", "doc_id", "toxic", F.col("n").cast("int"), F.col("words").cast("int")).join(bounded(able.select("feature"), BROADCAST_ROWS), "feature").toArrow()
+    found, row = np.unique(met["doc_id"].to_numpy(), return_inverse=True)
+    coded = met["feature"].combine_chunks().dictionary_encode()
+    place = {f: i for i, f in enumerate(features)}
+    col = np.array([place[f] for f in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    times, words = met["n"].to_numpy().astype(float), met["words"].to_numpy().astype(float)
+    bad = np.zeros(len(found), bool)
+    bad[row] = met["toxic"].to_numpy(zero_copy_only=False)
+    # sampled texts without any of these features are rows of zeros
+    rest = [n[0] - int((~bad).sum()), n[1] - int(bad.sum())]
+    bad = np.concatenate([bad, np.zeros(rest[0], bool), np.ones(rest[1], bool)])
+    strong = more & (gains >= ASSOCIATED)
+    rate = np.bincount(row, np.where(strong[col], times, 0.0) / words * 100, len(bad))
+    terciles = np.quantile(rate[bad], [1 / 3, 2 / 3])
+    grade = np.where(bad, 1 + (rate > terciles[0]) + (rate > terciles[1]), 0)
+    cols, values = values_of(col, times, words, width)
+    weights, thresholds = fit_ordinal(np.tile(row, 2), cols, values, grade, 2 * width, np.tile(penalty / gains, 2))
+    own = np.flatnonzero((weights[:width] != 0) | (weights[width:] != 0))
+    return Model({features[i]: k for k, i in enumerate(own.tolist())}, np.concatenate([weights[own], weights[own + width]]), thresholds)
 
 
 def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -194,7 +265,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # slices bound what is scored at once
             pairs = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], names=["row", "text"])
             keep = [_scores(model, data, offsets)[:, 0] < reject for _, data, offsets in slices(iter([pairs]))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))

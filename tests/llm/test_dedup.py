@@ -83,7 +83,7 @@ def test_bytes_in_parts(monkeypatch):
     assert whole.tolist() == [bool(first[p[k : k + 50]] < d) for p, d in zip(pieces, docs, strict=True) for k in range(len(p) - 49)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 900, "common_shards": 1}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 900, "common_shards": 1}, {"batches": 1}, {"batches": 3, "shard_bytes": 900, "common_shards": 2}])
 def test_words(spark, odd, options):
     got = Counter(tuple(r) for r in W.remove_repeated_windows(odd, keep_text=False, **options).collect())
     assert got == words_brute(odd_rows())
@@ -122,18 +122,63 @@ def test_runs_compact():
     rng = np.random.default_rng(2)
     runs = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(7)]
     n = Counter(int(v) for r in runs for v in r)
-    shared, common = windows.merge_runs(runs, 2)
-    assert shared.tolist() == sorted(v for v, c in n.items() if c > 1) and common.tolist() == sorted(v for v, c in n.items() if c > 2)
-
-
-def test_index_keeps_runs(spark):
-    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
-    index = W.Index(spark, buckets=4)
-    total = lambda df: (sum(r.fresh for r in df.collect()), sum(r.known for r in df.collect()))
-    assert total(index.add(make(spark, [(1, text(1))]))) == (33, 0)
-    assert total(index.add(make(spark, [(2, text(1)), (3, text(2))]))) == (33, 33)
-    assert total(index.add(make(spark, [(4, text(2)), (5, None)]))) == (0, 33)
-    assert [level for level, _ in index.runs] == [1, 0]
+    values, counts = windows.merge_runs(runs)
+    assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == n and values.tolist() == sorted(n)
+
+
+def test_batch_by_batch_is_one_shot(spark):
+    """Batches of ascending doc_id, each against its history, remove what one call on all of them removes."""
+    rows = sorted((r for r in odd_rows() if r[0] is not None), key=ORDER)
+    rows += [(100 + i, t) for i, t in rows[:9]]  # copies in a later batch
+    index = W.new_index(spark, buckets=5, keep_text=False, shard_bytes=2000, common_shards=3)
+    got, per = Counter(), -(-len(rows) // 5)
+    for k in range(0, len(rows), per):
+        cut = [r for r in rows[k : k + per]]
+        got += Counter(tuple(r) for r in W.add_batch(index, make(spark, cut)).collect())
+    assert got == words_brute(rows)
+    assert [level for level, _ in index.runs] == [2, 0]  # five batches: four were compacted into one run
+    runs = spark.read.parquet(index.runs[0][1])
+    hashes = [np.frombuffer(bytes(r.hashes), np.uint64) for r in runs.collect()]
+    assert all((np.diff(h.astype(object)) >= 0).all() for h in hashes) and runs.select("bucket").distinct().count() == runs.count()
+
+
+def test_history_is_earlier(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    index = W.new_index(spark, buckets=3)
+    assert W.add_batch(index, make(spark, [(9, text), (8, None)])).where("doc_id = 9").first().kept == text
+    assert {r.doc_id: r.kept for r in W.add_batch(index, make(spark, [(1, "a b " + text), (2, text + " z")])).collect()} == {1: "a b", 2: "z"}
+
+
+def test_equal_fingerprints_are_verified(monkeypatch):
+    """All windows have one fingerprint: words alone decide."""
+    monkeypatch.setattr(W, "window_prints", lambda code, length: np.zeros(max(0, len(code) - length + 1), np.uint64))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(4, 9))) for _ in range(40)]
+    content, sizes = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+    flags, count = W.resolve_words(content, sizes, np.arange(40) // 3, np.arange(40) % 3 * 50, 4)
+    seen, want = set(), []
+    for t in texts:
+        w = t.split(" ")
+        for k in range(len(w) - 3):
+            want.append(tuple(w[k : k + 4]) in seen)
+            seen.add(tuple(w[k : k + 4]))
+    assert flags.tolist() == want and count.sum() == len(want)
+
+
+def test_report_rows_follow_the_input(spark, small):
+    """A shard's rows are at most its hashes, however many buckets there are."""
+    rule = W._rule(20, 8, False)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    import pyarrow as pa
+
+    def reported(part, shard):
+        table = pa.table({"doc_id": pa.array([i for i, _ in part]), "text": pa.array([t for _, t in part]), "shard": pa.array([shard] * len(part), pa.int32())})
+        out = windows._report(rule, 1 << 20)(table)
+        assert sum(len(x) // 8 for x in out["hashes"].to_pylist()) >= out.num_rows
+        return out.num_rows
+
+    half, whole = reported(rows[::2], 0), reported(rows[::2], 0) + reported(rows[1::2], 1)
+    assert 1.5 < whole / half < 2.6
 
 
 def fingerprint(text):

@@ -163,6 +163,70 @@ def test_matching_statistics():
         assert lengths[i] == max((n for n in range(1, 13) if i + 1 >= n and tuple(text[i + 1 - n : i + 1]) in inside), default=0)
 
 
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+
+
+def test_licences_that_read_alike(spark):
+    texts = {1: LGPL, 2: L.TEMPLATES["gpl"], 3: L.TEMPLATES["cc-by-sa"], 4: L.TEMPLATES["cc-by"], 5: LGPL + " x" * 30 + L.TEMPLATES["mit"], 6: L.TEMPLATES["gpl"] + " y" * 30 + LGPL}
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(make(spark, list(texts.items()))).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {1: "lgpl", 2: "gpl", 3: "cc-by-sa", 4: "cc-by", 5: "lgpl,mit", 6: "gpl,lgpl"}
+    assert all(s == 1.0 for _, s in got.values())
+
+
+def test_phrases_of_one_word(spark):
+    got = L.scan_licenses(make(spark, [(1, "beerware x beerware"), (2, "none"), (3, "Beerware")]), phrases={"beerware": "beer", "--": "dashes"}, templates={}).collect()
+    assert {r.doc_id: (r.n_base, r.first_word, r.last_word, r.labels) for r in got} == {1: (2, 0, 2, "beer"), 2: (0, None, None, ""), 3: (1, 0, 0, "beer")}
+
+
+def chain_brute(text, template, least, gap):
+    """Most template words covered by a chain of common stretches; every stretch and every chain is tried."""
+    found = []
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= least:
+                    found.append((i, j, n))
+    best = {}
+    for f in sorted(found):
+        i, j, n = f
+        best[f] = n
+        for g in found:
+            x, y, m = g
+            over = max(0, x + m - i, y + m - j)
+            if x < i and y < j and over < n and i + over - x - m <= gap and j + over - y - m <= gap:
+                best[f] = max(best[f], best[g] + n - over)
+    return max(best.values(), default=0)
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(8)
+    for trial in range(60):
+        letters = "abcdefgh"[: rng.randint(3, 8)]
+        templates = {str(k): " ".join(rng.choice(letters) for _ in range(rng.randint(3, 25))) for k in range(4)}
+        scanner = L.Scanner({}, templates, least=2, gap=3)
+        text = []
+        for _ in range(6):
+            w = rng.choice(list(templates.values())).split()
+            a = rng.randrange(len(w))
+            text += w[a : a + rng.randint(1, 12)] + ["z"] * rng.randint(0, 2) * (trial % 2)
+        matches, run = [], []
+        for i, w in enumerate([*text, "z"]):
+            if w in letters:
+                run.append(scanner.ids.get(w.encode(), -1))
+            if run and (w not in letters or run[-1] < 0):
+                known = [x for x in run if x >= 0]
+                scanner.scan_run(known, i - len(known), [], matches)
+                run = []
+        chains = scanner.chain(matches)
+        for k, template in enumerate(templates.values()):
+            assert chains.get(k, (0, []))[0] == chain_brute(text, template.split(), 2, 3)
+            total, spans = chains.get(k, (0, []))
+            assert sum(b - a for a, b in spans) == total
+
+
 # --- benchmark
 
 def words(text):
@@ -196,7 +260,10 @@ def test_decontaminate(spark, odd, none):
     assert got == leak_brute(odd_rows(), items)
     assert D.decontaminate(none, bench).count() == 0
     assert all(r.n_hit == 0 for r in D.decontaminate(odd, bench.limit(0)).collect())
-    kept = {r.doc_id for r in D.drop_contaminated(odd, bench).collect()}
+    joined = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in D.decontaminate(odd, bench, broadcast_rows=0).collect())
+    assert joined == got
+    kept = {r.doc_id for r in D.drop_contaminated(odd, bench, broadcast_rows=0).collect()}
+    assert kept == {r.doc_id for r in D.drop_contaminated(odd, bench).collect()}
     assert 14 not in kept and 4 not in kept and 6 in kept
 
 
@@ -248,6 +315,30 @@ def test_redact(spark):
     assert texts[64] == "[secret]" and texts[67] == "AKIAABCDEFGHIJ alone"
 
 
+def mask_brute(text, spans):
+    out, at = "", 0
+    for a, _, b in spans:
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_redact_everywhere(spark, none, broadcast_rows):
+    rng = random.Random(6)
+    many = "".join(rng.choice(["é" * rng.randint(1, 2000), " ", "\n", "🙂"]) + f"token={rng.randrange(10**8, 10**9)} " for _ in range(400))
+    long = ("plain words, " * 900_000)[:10_000_000] + " password: abcdefgh " + "AKIA" + "A" * 30
+    rows = SECRETS + odd_rows() + [(80, many), (81, long), (82, "token=abcdef" * 3), (83, ""), (84, None), (82, "token=abcdef" * 3)]
+    docs = make(spark, rows)
+    spans = {r.doc_id: [(x.start, x.kind, x.end) for x in r.spans] for r in S.scan_secrets(make(spark, [r for r in rows if r[0] in {*range(60, 90)}])).collect()}
+    got = Counter((r.doc_id, r.text) for r in S.redact(docs, broadcast_rows=broadcast_rows).collect())
+    for i, t in rows:
+        if i in spans:
+            assert got[i, mask_brute(t, spans[i]) if t else t]
+    assert sum(got.values()) == len(rows) and S.redact(none).count() == 0
+
+
 # --- toxicity
 
 def labelled(spark, n, seed):
@@ -286,6 +377,58 @@ def test_toxicity_without_labels(spark, odd):
     assert all(r.severity == 0 and not r.toxic for r in X.score(odd, model).collect())
 
 
+def test_scores_against_a_plain_model(spark, odd):
+    """Probabilities from counts of features in plain dictionaries."""
+    docs, labels = labelled(spark, 300, 2)
+    frame = make(spark, docs)
+    model = X.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    width = len(model.words)
+    assert 0 < width and (model.weights != 0).any()
+    texts = docs[:40] + odd_rows()
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.severity, r.p_toxic) for r in X.score(make(spark, texts), model).collect()))
+    want = []
+    for i, t in texts:
+        w = [x.encode() for x in words(t)]
+        n = Counter(f for x in w for f in X.features_of(x))
+        z = sum(model.weights[k] * np.log(1 + n[f]) + model.weights[width + k] * np.log(1 + 100 * n[f] / len(w)) for f, k in model.words.items() if n[f])
+        p = [1 / (1 + np.exp(c - z)) for c in model.thresholds]
+        want.append((i is None, i or 0, sum(p), p[0]))
+    assert np.allclose(np.array(got, float), np.array(sorted(want), float), atol=2e-6)
+
+
+def test_every_feature_may_have_a_weight(spark):
+    """Far more telling features than any fixed number of them, and a repeated doc_id counts once."""
+    rng = random.Random(3)
+    vile = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(600)))
+    docs = [(i, " ".join([f"q{rng.randrange(400)}x" for _ in range(5)] + ([vile[i // 2 % len(vile)]] if i % 2 else []))) for i in range(2400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in docs], "doc_id long, quality int, toxic int")
+    model = X.fit(make(spark, docs), labels, penalty=1e-4)
+    assert len({f[-4:] for f in model.words} & {x.encode() for x in vile}) > 500
+    again = X.fit(make(spark, docs + docs[:300]), labels, penalty=1e-4)
+    assert again.words == model.words and np.allclose(again.weights, model.weights) and np.allclose(again.thresholds, model.thresholds)
+
+
+def test_slope_and_optimum():
+    """The slope is the likelihood's by differences; at the optimum no weight's slope exceeds its penalty."""
+    rng = np.random.default_rng(5)
+    dense = rng.poisson(0.6, (250, 14)).astype(float)
+    grade = np.digitize(dense @ np.linspace(-1, 1, 14) + rng.normal(size=250), [0.5, 1.5, 2.5])
+    row, col = np.nonzero(dense)
+    value, weight = dense[row, col], X.class_weights(grade)
+    theta = rng.normal(size=17) / 4
+    _, slope = X.likelihood(theta, row, col, value, grade, weight, 14)
+    for k in range(17):
+        step = np.zeros(17)
+        step[k] = 1e-5
+        change = X.likelihood(theta + step, row, col, value, grade, weight, 14)[0] - X.likelihood(theta - step, row, col, value, grade, weight, 14)[0]
+        assert abs(change / 2e-5 - slope[k]) < 1e-6
+    penalty = np.linspace(0.0, 0.06, 14)
+    w, cut = X.fit_ordinal(row, col, value, grade, 14, penalty, steps=4000)
+    _, slope = X.likelihood(np.concatenate([w, [cut[0]], np.log(np.diff(cut))]), row, col, value, grade, weight, 14)
+    assert (np.abs(slope[:14][w == 0]) <= penalty[w == 0] * 1.01 + 1e-6).all() and (w == 0).any() and (w != 0).any()
+    assert np.allclose(slope[:14][w != 0], -np.sign(w[w != 0]) * penalty[w != 0], atol=2e-3) and np.allclose(slope[14:], 0, atol=2e-3)
+
+
 def test_ordinal_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=600)
