@@ -1,18 +1,20 @@
 """Incremental deduplication of word windows over a log-structured fingerprint index.
 
 Every word covered by a window of `length` words whose sequence also starts earlier (smaller doc_id, or the same
-document further ahead) is removed. The index keeps sorted immutable runs of fingerprints (hashes of the `gram`-word
-windows that anchor the `length`-word windows, windows.py), dealt into buckets by hash. A batch (a shard) brings a
-sorted run; the run is merge-joined with the runs of history; candidates on either side are verified word by word
-against each other (`resolve_words`: equal bytes, never equal hashes alone); then the run joins the index, where two
-runs of one level are compacted into one of the next (windows.merge_runs).
+document further ahead) is removed. Documents come in batches of ascending doc_id. The index (windows.Index) keeps sorted
+immutable runs of the fingerprints of all batches before: hashes of the `gram`-word windows that anchor the
+`length`-word windows, with the shards that have them. A batch's sorted runs are merge-joined with the runs of history;
+candidates on either side, of history too, are verified word by word against each other (`resolve_words`: equal hashes
+propose, equal words decide); then the batch's runs join the index, where two runs of one level are compacted into one
+of the next. A later batch costs its own size and another look at the shards of history that have anchors in common.
 
-`Index` keeps the runs between calls in the shared folder and counts a later batch's fresh and known fingerprints; it
-has no places or texts of history, so it verifies and removes nothing.
+`add_batch` is the incremental form: one batch against all that its index has seen. `remove_repeated_windows` adds a
+table in `batches` ranges of doc_id.
 
 Defined cases: null texts have no words; texts shorter than a window keep everything; a null doc_id counts as the
-largest; rows that share a doc_id and their place are told apart by their order in the shard, copies included; an
-empty table gives no rows. White space between kept words becomes one space.
+largest; rows that share a doc_id and their place are told apart by their order in the shard, copies included; what a
+batch holds is later than all of history, whatever its doc_ids; an empty table gives no rows. White space between kept
+words becomes one space.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from planeworks.llm.op1_suffix_dedup import covered
-from planeworks.llm.text import SPACE, dictionary, id_text, map_slices, shared_dir, words_of
-from planeworks.llm.windows import Rule, Sequence, compact, find_repeats, gram_hashes
+from planeworks.llm.text import SPACE, dictionary, id_text, text_bytes, words_of
+from planeworks.llm.windows import Index, Rule, Sequence, find_repeats, gram_hashes
 
 LENGTH, GRAM = 20, 8
+#: Batches in which a whole table is added.
+BATCHES = 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -55,30 +59,38 @@ def _read(keys: np.ndarray, ids: pa.Array, data: np.ndarray, offsets: np.ndarray
 
 
 def resolve_words(content: np.ndarray, sizes: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(flag of each window of each piece: the same words also start earlier than in this piece; windows a piece)."""
+    """(flag of each window of each piece: the same words also start earlier than in this piece; windows a piece).
+
+    The windows' fingerprints are sorted, earlier windows first; every window is then compared, word by word, with the
+    first of its fingerprint. Those that differ in words, for all their equal fingerprints, are compared among
+    themselves in the same way until none are left."""
     ends = np.cumsum(sizes)
     at = ends - sizes
-    raw = content.tobytes()
     starts, stops, before = words_of(content, np.append(at, ends[-1]), ~SPACE)
+    code, _ = dictionary(content, starts, stops)
     count = np.diff(before) - length + 1
     piece = np.repeat(np.arange(len(sizes)), count)
     first = np.repeat(before[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    place = places[piece] + first - before[piece]
-    doc = docs[piece]
-    order = np.lexsort((place, doc)).tolist()
-    a, b = starts[first].tolist(), stops[first + length - 1].tolist()
-    seen: set[bytes] = set()
+    prints = window_prints(code, length)[first]
+    order = np.lexsort((places[piece] + first - before[piece], docs[piece], prints))
     flags = np.zeros(len(first), bool)
-    # in order of (document, place), whatever has been met before starts earlier
-    for i in order:
-        words = raw[a[i] : b[i]]
-        if words in seen:
-            flags[i] = True
-        else:
-            seen.add(words)
+    while len(order):
+        new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        same = np.ones(len(order), bool)
+        for k in range(length):
+            same &= code[first[order] + k] == code[first[lead] + k]
+        flags[order[same & ~new]] = True
+        order = order[~same]
     return flags, count
 
 
+def window_prints(code: np.ndarray, length: int) -> np.ndarray:
+    """A fingerprint of each `length` consecutive word codes."""
+    with np.errstate(over="ignore"):
+        return gram_hashes((code.astype(np.uint64) + np.uint64(1)) * _SPREAD, length)
+
+
 def _finish(length: int, keep_text: bool):
     def finish(s: Sequence | None, flags: np.ndarray | None) -> dict:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
@@ -99,87 +111,26 @@ def _finish(length: int, keep_text: bool):
     return finish
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True, **options) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, unless left out, kept (the remaining words)."""
+def _rule(length: int, gram: int, keep_text: bool) -> Rule:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     resolve = lambda content, sizes, ids, places: resolve_words(content, sizes, ids, places, length)
-    return find_repeats(docs, Rule(length, min(gram, length), True, _read, resolve, _finish(length, keep_text), schema), id_col, text_col, **options)
-
-
-class Index:
-    """Fingerprint runs that outlive a job: for each bucket sorted, distinct hashes of `gram`-word windows with counts,
-    in runs by level, as Parquet rows (run, level, bucket, hashes, counts) in a shared folder. add() is one batch."""
-
-    def __init__(self, spark: SparkSession, buckets: int = 64, gram: int = GRAM) -> None:
-        self.spark, self.buckets, self.gram = spark, buckets, gram
-        self.runs: list[tuple[int, str]] = []
-
-    def _table(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        buckets, gram = self.buckets, self.gram
-
-        def make():
-            def step(keys: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict:
-                starts, ends, before = words_of(data, offsets, ~SPACE)
-                values = gram_hashes(word_hashes(data, starts, ends), gram)
-                inner = np.zeros(len(values) + 1, np.int32)
-                cut = before[1:-1]
-                np.add.at(inner, np.clip(cut - gram + 1, 0, len(values)), 1)
-                np.add.at(inner, np.clip(cut, 0, len(values)), -1)
-                found, n = np.unique(values[np.cumsum(inner[:-1]) == 0], return_counts=True)
-                group = ((found >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(group, kind="stable")
-                edges = np.searchsorted(group[by], np.arange(buckets + 1))
-                use = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-                cell = [by[edges[b] : edges[b + 1]] for b in use]
-                return {"bucket": pa.array(use, pa.int32()), "hashes": pa.array([found[c].tobytes() for c in cell], pa.binary()), "counts": pa.array([n[c].astype(np.int32).tobytes() for c in cell], pa.binary())}
-
-            return step
-
-        return map_slices(id_text(batch, id_col, text_col), make, "bucket int, hashes binary, counts binary")
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        def merge(table: pa.Table) -> pa.Table:
-            runs = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for h, c in zip(table["hashes"].to_pylist(), table["counts"].to_pylist(), strict=True)]
-            while len(runs) > 1:
-                runs = [compact(*runs[k], *runs[k + 1]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
-            return pa.table({"bucket": table["bucket"][:1], "hashes": pa.array([runs[0][0].tobytes()], pa.binary()), "counts": pa.array([runs[0][1].tobytes()], pa.binary())})
-
-        return rows.groupBy("bucket").applyInArrow(merge, "bucket int, hashes binary, counts binary")
-
-    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """bucket, fresh, known: how many of the batch's distinct fingerprints are new, and how many history has. The
-        batch's run then joins the index; runs of one level are compacted."""
-        folder = shared_dir(self.spark, "index-run")
-        self._merged(self._table(batch, id_col, text_col)).write.parquet(folder)
-        run = self.spark.read.parquet(folder).withColumn("side", F.lit(1))
-        history = [self.spark.read.parquet(f).withColumn("side", F.lit(0)) for _, f in self.runs]
-        both = run
-        for h in history:
-            both = both.unionByName(h)
-
-        def join(table: pa.Table) -> pa.Table:
-            own, old = np.zeros(0, np.uint64), []
-            for side, h in zip(table["side"].to_pylist(), table["hashes"].to_pylist(), strict=True):
-                if side:
-                    own = np.frombuffer(h, np.uint64)
-                else:
-                    old.append(np.frombuffer(h, np.uint64))
-            known = np.zeros(len(own), bool)
-            for h in old:
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                known |= h[at] == own
-            return pa.table({"bucket": table["bucket"][:1], "fresh": pa.array([int((~known).sum())]), "known": pa.array([int(known.sum())])})
-
-        report = shared_dir(self.spark, "index-report")
-        both.groupBy("bucket").applyInArrow(join, "bucket int, fresh long, known long").write.parquet(report)
-        self.runs.append((0, folder))
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (level, a), (_, b) = self.runs.pop(), self.runs.pop()
-            merged = shared_dir(self.spark, "index-run")
-            self._merged(self.spark.read.parquet(b, a)).write.parquet(merged)
-            self.runs.append((level + 1, merged))
-        return self.spark.read.parquet(report)
+    return Rule(length, min(gram, length), True, _read, resolve, _finish(length, keep_text), schema)
+
+
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True, batches: int = BATCHES, **options) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, unless left out, kept (the remaining words)."""
+    return find_repeats(docs, _rule(length, gram, keep_text), id_col, text_col, batches=batches, **options)
+
+
+def new_index(spark: SparkSession, buckets: int = 64, length: int = LENGTH, gram: int = GRAM, keep_text: bool = True, **options) -> Index:
+    """An empty index. `buckets` deals out its hashes; each should hold some megabytes once the index is full."""
+    return Index(spark, _rule(length, gram, keep_text), buckets, **options)
+
+
+def add_batch(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As remove_repeated_windows, of one batch against all batches before, which count as earlier."""
+    texts = id_text(docs, id_col, text_col)
+    return index.add(texts, text_bytes(texts))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

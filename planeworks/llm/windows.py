@@ -2,19 +2,25 @@
 
 A window is `length` consecutive symbols of one document. Every window has an anchor: its `gram` consecutive symbols
 with the least hash, which depends on the window's content alone, so equal windows have equal anchors. Neighbouring
-windows share anchors; the maximal run of windows with one anchor is a piece. The steps:
-
-1. documents are dealt into shards, each small enough for one task's memory; a shard reports its anchors' hashes;
-2. a bucket of hashes tells each shard which of its hashes occur elsewhere too (a bit each, and a second bit for those
-   in very many shards). A window without an equal elsewhere mostly stops here;
-3. shards send the pieces of shared anchors, each distinct piece once with the least document it occurs in; pieces of
-   very common anchors are sent window by window, dealt by the window's content, so that no bucket holds them all;
+windows share anchors; the maximal run of windows with one anchor is a piece. `Index.add` takes a batch of documents:
+
+1. the batch is dealt into shards, each small enough for one task's memory; a shard reports its anchors' hashes, sorted.
+   These runs are immutable; they are kept in the shared folder if the index is to outlive the batch;
+2. a bucket of hashes merge-joins the batch's runs with each other and with the runs of history. It tells each shard of
+   the batch which of its hashes occur elsewhere too (a bit each, and a second bit for those in very many shards), and
+   each shard of history which of its hashes the batch has. A window without an equal elsewhere mostly stops here;
+3. shards, of history too, send the pieces of these anchors, each distinct piece once with the least document it occurs
+   in; pieces of very common anchors are sent window by window, dealt by the window's content, so that no bucket holds
+   them all;
 4. a bucket finds the equal windows among its pieces exactly (`resolve`) and returns a bit a window: does it occur
-   earlier than in this piece's least document?
-5. shards mark their windows from these bits and finish their documents.
-
-Texts cross one exchange, which the three steps that read them share. Nothing goes to the driver but the corpus' size.
-All steps are functions of their input, so a lost task or shuffle file is made again.
+   earlier than in this piece's least document? What is in an earlier batch is earlier;
+5. shards of the batch mark their windows from these bits and finish their documents;
+6. runs of one level are compacted into one of the next before another batch comes.
+
+What goes from a shard to a bucket is one row if there is anything, so a shard's rows are at most its hashes, and the
+work of a shard doesn't grow with the number of buckets. Texts cross one exchange, which the three steps that read them
+share. Nothing goes to the driver but the corpus' size. All steps are functions of their input, so a lost task or
+shuffle file is made again.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeworks.llm.text import id_text, row_bytes, text_bytes
+from planeworks.llm.text import give_back, id_text, row_bytes, shared_dir
 
 #: Bytes of text in a shard, and shards that an anchor must be in to be very common.
 SHARD_BYTES = 6 << 20
@@ -139,13 +145,15 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(values: np.ndarray, group: np.ndarray, n: int) -> list[np.ndarray]:
-    """values by group 0..n-1, in order."""
+def _cells(group: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(group, places of its members in order) of the groups that have members, ascending."""
     by = np.argsort(group, kind="stable")
-    return np.split(values[by], np.searchsorted(group[by], np.arange(1, n)))
+    first = np.flatnonzero(np.diff(group[by], prepend=-1))
+    return list(zip(group[by[first]].tolist(), np.split(by, first[1:]), strict=True)) if len(by) else []
 
 
 def _sequence(table: pa.Table, rule: Rule) -> Sequence:
+    give_back()  # what the group before has left
     ids = table["doc_id"].combine_chunks()
     keys = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
     by = np.argsort(keys, kind="stable")
@@ -163,16 +171,15 @@ def _unbits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).view(bool)
 
 
-def find_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, common_shards: int = COMMON_SHARDS) -> DataFrame:
-    """rule.finish over every document, with the windows that occur earlier."""
-    texts = id_text(docs, id_col, text_col)
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = text_bytes(texts)
-    shards = max(partitions, -(-size // shard_bytes))
-    buckets = max(partitions, -(-size // shard_bytes))
-    dealt = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("int").alias("shard"))
+_RUNS = "bucket int, shard int, hashes binary, multi binary"
+_HISTORY = "bucket int, hashes binary, shards binary"
+_ANSWERS = "shard int, bucket int, kind int, payload binary"
+_SENT = "bucket int, shard int, age int, content binary, bytes binary, docs binary, places binary"
+#: Kinds of answers: bits of a batch's hashes, bits of windows, hashes that a batch wants of history.
+_MASK, _EARLIER, _WANTED = 0, 1, 2
 
+
+def _report(rule: Rule, buckets: int):
     def report(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         s = _sequence(table, rule)
@@ -185,86 +192,109 @@ def find_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
         differs[1:] = (h[1:] == h[:-1]) & (owner[1:] != owner[:-1])
         multi = np.add.reduceat(differs.astype(np.int64), first) > 0 if len(first) else differs
         distinct = h[first]
-        group = _bucket(distinct, buckets)
-        parts, multis = _split(distinct, group, buckets), _split(multi, group, buckets)
-        use = [b for b in range(buckets) if len(parts[b])]
-        return pa.table({"bucket": pa.array(use, pa.int32()), "shard": pa.array([shard] * len(use), pa.int32()), "hashes": pa.array([parts[b].tobytes() for b in use], pa.binary()), "multi": pa.array([_bits(multis[b]) for b in use], pa.binary())})
+        cells = _cells(_bucket(distinct, buckets))
+        return pa.table({"bucket": pa.array([b for b, _ in cells], pa.int32()), "shard": pa.array([shard] * len(cells), pa.int32()), "hashes": pa.array([distinct[x].tobytes() for _, x in cells], pa.binary()), "multi": pa.array([_bits(multi[x]) for _, x in cells], pa.binary())})
 
-    reports = dealt.groupBy("shard").applyInArrow(report, "bucket int, shard int, hashes binary, multi binary")
+    return report
 
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
-        runs = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        shared, common = merge_runs(runs, common_shards)
-        out = []
-        for run, m in zip(runs, table["multi"].to_pylist(), strict=True):
-            out.append(_bits(_unbits(m, len(run)) | _in_sorted(run, shared)) + _bits(_in_sorted(run, common)))
-        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "kind": pa.array([0] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
-
-    answers = "shard int, bucket int, kind int, payload binary"
-    masks = reports.groupBy("bucket").applyInArrow(meet, answers)
-
-    def candidates(s: Sequence, right: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """(first window, last window, content, bucket, document) of what this shard sends, repeats included."""
-        from xxhash import xxh64_intdigest
-
-        first, last, hashes, doc = pieces_of(s, rule)
-        distinct, code = np.unique(hashes, return_inverse=True)
-        group = _bucket(distinct, buckets)
-        shared, common = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-        by = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[by], np.arange(buckets + 1))
-        for b, kind, payload in zip(right["bucket"].to_pylist(), right["kind"].to_pylist(), right["payload"].to_pylist(), strict=True):
-            if kind == 0:
-                own = by[bounds[b] : bounds[b + 1]]
-                half = len(payload) // 2
-                shared[own], common[own] = _unbits(payload[:half], len(own)), _unbits(payload[half:], len(own))
-        use = shared[code]
-        rare, often = np.flatnonzero(use & ~common[code]), np.flatnonzero(use & common[code])
-        count = last[often] - first[often] + 1
-        singles = np.repeat(first[often] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        begin, end = np.concatenate([first[rare], singles]), np.concatenate([last[rare], singles])
-        owner = np.concatenate([doc[rare], np.repeat(doc[often], count)])
-        content = s.content(begin, end + rule.length - 1)
-        lone = np.array([xxh64_intdigest(x) for x in content[len(rare) :]], np.uint64)
-        return begin, end, content, _bucket(np.concatenate([hashes[rare], lone]), buckets), owner
-
-    def numbered(content: list[bytes], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each piece's content, the first piece, in document order, with each number)."""
-        order = np.argsort(begin, kind="stable")
-        seen: dict[bytes, int] = {}
-        number = np.empty(len(content), np.int64)
-        for i in order.tolist():
-            number[i] = seen.setdefault(content[i], len(seen))
-        lead = np.empty(len(seen), np.int64)
-        lead[number[order[::-1]]] = order[::-1]
-        return number, lead
 
+def _meet(common: int):
+    """The batch's runs of a bucket (_RUNS) with history's (_HISTORY)."""
+
+    def meet(new: pa.Table, old: pa.Table | None = None) -> pa.Table:
+        new = new.sort_by("shard")
+        runs = [np.frombuffer(x, np.uint64) for x in new["hashes"].to_pylist()]
+        values, n = merge_runs(runs)
+        out = []
+        if old is not None and old.num_rows and len(values):
+            for h, own in zip(old["hashes"].to_pylist(), old["shards"].to_pylist(), strict=True):
+                h, own = np.frombuffer(h, np.uint64), np.frombuffer(own, np.int32)
+                n = n + np.searchsorted(h, values, side="right") - np.searchsorted(h, values)
+                hit = _in_sorted(h, values)
+                out += [(shard, h[hit][x]) for shard, x in _cells(own[hit].astype(np.int64))]
+        shared, often = values[n > 1], values[n > common]
+        wanted = [np.unique(h) for _, h in out]
+        shards = new["shard"].to_pylist() + [k for k, _ in out]
+        payload = [_bits(_unbits(m, len(run)) | _in_sorted(run, shared)) + _bits(_in_sorted(run, often)) for run, m in zip(runs, new["multi"].to_pylist(), strict=True)]
+        payload += [h.tobytes() + _bits(_in_sorted(h, often)) for h in wanted]
+        bucket = (new if new.num_rows else old)["bucket"][0].as_py()
+        kinds = [_MASK] * len(runs) + [_WANTED] * len(wanted)
+        return pa.table({"shard": pa.array(shards, pa.int32()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    return meet
+
+
+def _candidates(s: Sequence, right: pa.Table, rule: Rule, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(first window, last window, content, bucket, document) of what this shard sends, repeats included."""
+    from xxhash import xxh64_intdigest
+
+    first, last, hashes, doc = pieces_of(s, rule)
+    distinct, code = np.unique(hashes, return_inverse=True)
+    shared, common = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    places = dict(_cells(_bucket(distinct, buckets)))
+    for b, kind, payload in zip(right["bucket"].to_pylist(), right["kind"].to_pylist(), right["payload"].to_pylist(), strict=True):
+        if kind == _MASK:
+            own = places[b]
+            half = len(payload) // 2
+            shared[own], common[own] = _unbits(payload[:half], len(own)), _unbits(payload[half:], len(own))
+        elif kind == _WANTED:
+            n = 8 * len(payload) // 65  # n hashes of 64 bits and n bits, in whole bytes
+            own = np.searchsorted(distinct, np.frombuffer(payload, np.uint64, n))
+            shared[own], common[own] = True, _unbits(payload[8 * n :], n)
+    use = shared[code]
+    rare, often = np.flatnonzero(use & ~common[code]), np.flatnonzero(use & common[code])
+    count = last[often] - first[often] + 1
+    singles = np.repeat(first[often] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    begin, end = np.concatenate([first[rare], singles]), np.concatenate([last[rare], singles])
+    owner = np.concatenate([doc[rare], np.repeat(doc[often], count)])
+    content = s.content(begin, end + rule.length - 1)
+    lone = np.array([xxh64_intdigest(x) for x in content[len(rare) :]], np.uint64)
+    return begin, end, content, _bucket(np.concatenate([hashes[rare], lone]), buckets), owner
+
+
+def _numbered(content: list[bytes], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each piece's content, the first piece, in document order, with each number)."""
+    order = np.argsort(begin, kind="stable")
+    seen: dict[bytes, int] = {}
+    number = np.empty(len(content), np.int64)
+    for i in order.tolist():
+        number[i] = seen.setdefault(content[i], len(seen))
+    lead = np.empty(len(seen), np.int64)
+    lead[number[order[::-1]]] = order[::-1]
+    return number, lead
+
+
+def _send(rule: Rule, buckets: int, age: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("bucket", "shard", "content", "bytes", "docs", "places")}
+        out: dict[str, list] = {k: [] for k in ("bucket", "shard", "age", "content", "bytes", "docs", "places")}
         if left.num_rows and right.num_rows:
             s = _sequence(left, rule)
-            begin, _, content, group, owner = candidates(s, right)
-            _, lead = numbered(content, begin)
-            for b, own in enumerate(_split(lead, group[lead], buckets)):
-                if len(own):
-                    mine = [content[i] for i in own.tolist()]
-                    out["bucket"].append(b)
-                    out["shard"].append(left["shard"][0].as_py())
-                    out["content"].append(b"".join(mine))
-                    out["bytes"].append(np.fromiter(map(len, mine), np.int32, len(mine)).tobytes())
-                    out["docs"].append(s.keys[owner[own]].tobytes())
-                    out["places"].append((begin[own] - s.rows[owner[own]]).astype(np.int64).tobytes() if rule.by_place else b"")
-        return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "shard") else pa.binary()) for k, v in out.items()})
-
-    sent = dealt.groupBy("shard").cogroup(masks.groupBy("shard")).applyInArrow(send, "bucket int, shard int, content binary, bytes binary, docs binary, places binary")
+            begin, _, content, group, owner = _candidates(s, right, rule, buckets)
+            _, lead = _numbered(content, begin)
+            for b, x in _cells(group[lead]):
+                own = lead[x]
+                mine = [content[i] for i in own.tolist()]
+                row = (b, left["shard"][0].as_py(), age, b"".join(mine), np.fromiter(map(len, mine), np.int32, len(mine)).tobytes(), s.keys[owner[own]].tobytes(), (begin[own] - s.rows[owner[own]]).astype(np.int64).tobytes() if rule.by_place else b"")
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "shard", "age") else pa.binary()) for k, v in out.items()})
+
+    return send
+
 
+def _answer(rule: Rule):
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
         sizes = [np.frombuffer(x, np.int32) for x in table["bytes"].to_pylist()]
-        docs_, places = b"".join(table["docs"].to_pylist()), b"".join(table["places"].to_pylist())
+        docs, places = b"".join(table["docs"].to_pylist()), b"".join(table["places"].to_pylist())
         every = np.concatenate(sizes).astype(np.int64)
-        own, at = np.frombuffer(docs_, np.int64), np.frombuffer(places, np.int64) if places else None
+        own, at = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int64) if places else None
+        # a document's rank: by batch, then by doc_id
+        age = np.repeat(table["age"].to_numpy(), [len(x) for x in sizes])
+        by = np.lexsort((own, age))
+        new = np.concatenate([[False], (own[by][1:] != own[by][:-1]) | (age[by][1:] != age[by][:-1])])
+        own = np.empty(len(by), np.int64)
+        own[by] = np.cumsum(new)
         # copies of a piece are one piece of its least document; the others' windows all occur earlier
         seen: dict[bytes, int] = {}
         raw, ends = b"".join(table["content"].to_pylist()), np.cumsum(every)
@@ -279,27 +309,29 @@ def find_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
         flags |= np.repeat(later, count)
         stop = np.cumsum(count)[np.cumsum([len(x) for x in sizes]) - 1]
         out = [_bits(x) for x in np.split(flags, stop[:-1])]
-        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "kind": pa.array([1] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "kind": pa.array([_EARLIER] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
-    answered = sent.groupBy("bucket").applyInArrow(answer, answers)
+    return answer
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def _end(rule: Rule, buckets: int):
+    def end(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table(rule.finish(None, None))
         s = _sequence(left, rule)
         n = max(0, len(s.values) - rule.length + 1)
         flags = np.zeros(n, bool)
         if right.num_rows:
-            begin, end, content, group, owner = candidates(s, right)
-            number, lead = numbered(content, begin)
-            count = end - begin + 1
+            begin, last, content, group, owner = _candidates(s, right, rule, buckets)
+            number, lead = _numbered(content, begin)
+            count = last - begin + 1
             # bits come back by bucket, in the order in which the bucket's pieces were sent
             earlier_at = np.full(len(lead), -1, np.int64)
             bits, total = [], 0
-            sent_by = _split(np.arange(len(lead)), group[lead], buckets)
+            sent = dict(_cells(group[lead]))
             for b, kind, payload in zip(right["bucket"].to_pylist(), right["kind"].to_pylist(), right["payload"].to_pylist(), strict=True):
-                if kind == 1:
-                    own = sent_by[b]
+                if kind == _EARLIER:
+                    own = sent[b]
                     sizes = count[lead[own]]
                     earlier_at[own] = total + np.cumsum(sizes) - sizes
                     bits.append(_unbits(payload, int(sizes.sum())))
@@ -312,7 +344,95 @@ def find_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
             flags[place] = earlier[source] | np.repeat(later, count)
         return pa.table(rule.finish(s, flags))
 
-    return dealt.groupBy("shard").cogroup(masks.unionByName(answered).groupBy("shard")).applyInArrow(finish, rule.schema)
+    return end
+
+
+def _as_history(table: pa.Table) -> pa.Table:
+    """Runs of a batch's shards in a bucket as one run of history: (hash, shard), sorted."""
+    hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    shards = np.repeat(table["shard"].to_numpy().astype(np.int32), [len(x) for x in hashes])
+    return _history_run(table["bucket"][:1], np.concatenate(hashes), shards)
+
+
+def _compacted(table: pa.Table) -> pa.Table:
+    """Two runs or more of history in a bucket as one."""
+    hashes, shards = (np.frombuffer(b"".join(table[k].to_pylist()), t) for k, t in (("hashes", np.uint64), ("shards", np.int32)))
+    return _history_run(table["bucket"][:1], hashes, shards)
+
+
+def _history_run(bucket: pa.ChunkedArray, hashes: np.ndarray, shards: np.ndarray) -> pa.Table:
+    by = np.lexsort((shards, hashes))
+    return pa.table({"bucket": bucket, "hashes": pa.array([hashes[by].tobytes()], pa.binary()), "shards": pa.array([shards[by].tobytes()], pa.binary())})
+
+
+class Index:
+    """A log-structured index of the anchors of all batches so far: immutable sorted runs (bucket, hashes, shards), by
+    level, in the shared folder. Batches' texts aren't copied: their tables are read again where a later batch has
+    anchors in common with them, so they must stay as they were."""
+
+    def __init__(self, spark: SparkSession, rule: Rule, buckets: int, shard_bytes: int = SHARD_BYTES, common_shards: int = COMMON_SHARDS) -> None:
+        self.spark, self.rule, self.buckets, self.shard_bytes, self.common = spark, rule, buckets, shard_bytes, common_shards
+        self.runs: list[tuple[int, str]] = []  # (level, folder), oldest first
+        self.batches: list[DataFrame] = []  # dealt texts
+        self.shards = 0
+
+    def _kept(self, table: DataFrame, name: str) -> str:
+        folder = shared_dir(self.spark, name)
+        table.write.parquet(folder)
+        return folder
+
+    def compact(self) -> None:
+        """Runs of one level become one of the next, until all levels differ."""
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            (level, a), (_, b) = self.runs.pop(), self.runs.pop()
+            merged = self.spark.read.schema(_HISTORY).parquet(b, a).groupBy("bucket").applyInArrow(_compacted, _HISTORY)
+            self.runs.append((level + 1, self._kept(merged, "index-run")))
+
+    def add(self, texts: DataFrame, size: int, keep: bool = True) -> DataFrame:
+        """rule.finish over every document of the batch (doc_id, text; about `size` bytes), with the windows that occur
+        earlier in the batch or in any batch before. With keep, the batch is history for those that follow."""
+        rule, buckets = self.rule, self.buckets
+        shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // self.shard_bytes))
+        dealt = texts.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)) + self.shards).cast("int").alias("shard"))
+        reports = dealt.groupBy("shard").applyInArrow(_report(rule, buckets), _RUNS)
+        if keep:
+            reports = self.spark.read.schema(_RUNS).parquet(self._kept(reports, "batch-runs"))
+        self.compact()
+        if self.runs:
+            history = self.spark.read.schema(_HISTORY).parquet(*[folder for _, folder in self.runs])
+            masks = reports.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_meet(self.common), _ANSWERS)
+        else:
+            meet = _meet(self.common)
+            masks = reports.groupBy("bucket").applyInArrow(lambda table: meet(table), _ANSWERS)
+        masks = self.spark.read.schema(_ANSWERS).parquet(self._kept(masks, "index-masks"))
+        sent = dealt.groupBy("shard").cogroup(masks.groupBy("shard")).applyInArrow(_send(rule, buckets, len(self.batches)), _SENT)
+        for age, old in enumerate(self.batches):
+            sent = sent.unionByName(old.groupBy("shard").cogroup(masks.groupBy("shard")).applyInArrow(_send(rule, buckets, age), _SENT))
+        answered = sent.groupBy("bucket").applyInArrow(_answer(rule), _ANSWERS)
+        out = dealt.groupBy("shard").cogroup(masks.unionByName(answered).groupBy("shard")).applyInArrow(_end(rule, buckets), rule.schema)
+        if keep:
+            self.runs.append((0, self._kept(reports.groupBy("bucket").applyInArrow(_as_history, _HISTORY), "index-run")))
+            self.batches.append(dealt)
+            self.shards += shards
+        return out
+
+
+def find_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, common_shards: int = COMMON_SHARDS, batches: int = 1) -> DataFrame:
+    """rule.finish over every document, with the windows that occur earlier. The documents are added to an index in
+    `batches` ranges of ascending doc_id, of about as many documents each."""
+    texts = id_text(docs, id_col, text_col)
+    spark = docs.sparkSession
+    cuts = [k / batches for k in range(1, batches)]
+    size, bounds = texts.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", cuts) if cuts else F.lit(None)).first()
+    size, bounds = int(size or 0), sorted(set(bounds or []))
+    index = Index(spark, rule, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes)), shard_bytes, common_shards)
+    out = None
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = texts if low is None else texts.where(F.col("doc_id").isNull() | (F.col("doc_id") > low))
+        part = part if high is None else part.where(F.col("doc_id") <= high)
+        found = index.add(part, size // (len(bounds) + 1), keep=high is not None)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -322,13 +442,12 @@ def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def merge_runs(runs: list[np.ndarray], common: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values in two runs or more, values in over `common` runs) of sorted, distinct runs, kept as a log-structured
-    index: a new run is joined with the sorted runs of history, then joins them; two runs of one level are compacted
+def merge_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, the runs that each is in) of sorted, distinct runs, merged as a log: two runs of one level are compacted
     into one of the next, with counts."""
     levels: list[tuple[int, np.ndarray, np.ndarray]] = []
     for run in runs:
-        levels.append((0, run, np.ones(len(run), np.int32)))
+        levels.append((0, run, np.ones(len(run), np.int64)))
         while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
             level, a, na = levels.pop()
             _, b, nb = levels.pop()
@@ -337,11 +456,7 @@ def merge_runs(runs: list[np.ndarray], common: int) -> tuple[np.ndarray, np.ndar
         level, a, na = levels.pop()
         _, b, nb = levels.pop()
         levels.append((level + 1, *compact(b, nb, a, na)))
-    if not levels:
-        none = np.zeros(0, np.uint64)
-        return none, none
-    _, values, n = levels[0]
-    return values[n > 1], values[n > common]
+    return levels[0][1:] if levels else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def compact(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
