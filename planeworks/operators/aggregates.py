@@ -60,21 +60,22 @@ def patch_statistics(pixels: DataFrame, size: int, *keys: str) -> DataFrame:
     return raw_statistics(histogram(patched, *keys, "py", "px"), *keys, "py", "px")
 
 
-def otsu(hist8: DataFrame) -> DataFrame:
-    """threshold of a 256-bin histogram (g, cnt): the least one of greatest variance between the classes g <= threshold
-    and g > threshold. One row; the windows run over at most 256 rows."""
-    run = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
+def otsu(hist8: DataFrame, *keys: str) -> DataFrame:
+    """keys, threshold, between of histograms of 256 bins (keys, g, cnt): the least one of greatest variance between the
+    classes g <= threshold and g > threshold. The windows run over at most 256 rows a key; a key of one bin has no row."""
+    run = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*keys)
     g = F.col("g").cast("double")
     w, m = F.sum("cnt").over(run), F.sum(g * F.col("cnt")).over(run)
     n, total = F.sum("cnt").over(every), F.sum(g * F.col("cnt")).over(every)
     share = w / n
     between = F.pow(total / n * share - m / n, F.lit(2)) / F.nullif(share * (1 - share), F.lit(0.0))
-    scored = hist8.select("g", F.round(between, 6).alias("between"))
-    return scored.where("between is not null").orderBy(F.desc("between"), "g").limit(1).select(F.col("g").alias("threshold"), "between")
+    scored = hist8.select(*keys, F.round(between, 6).alias("between"), (-F.col("g")).alias("minus")).where("between is not null")
+    best = scored.groupBy(*keys).agg(F.max(F.struct("between", "minus")).alias("b")).where("b is not null")
+    return best.select(*keys, (-F.col("b.minus")).alias("threshold"), F.col("b.between").alias("between"))
 
 
-def linspace_cell(c: str, size: Column, cells: int) -> Column:
+def linspace_cell(c: str, size: Column, cells: int | Column) -> Column:
     """The cell whose integer bounds floor(i * size / cells) hold the coordinate."""
     i = F.floor(F.col(c) * cells / size)
     return F.when(F.floor((i + 1) * size / cells) <= F.col(c), i + 1).otherwise(i).cast("long")

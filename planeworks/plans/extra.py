@@ -11,6 +11,7 @@ from planeworks.operators import geometry as G
 from planeworks.operators import ledger as L
 from planeworks.operators import selection as S
 from planeworks.operators import session
+from planeworks.operators import supporting as U
 from planeworks.plans.boxes import BX
 from planeworks.plans.pixels import E, rounded
 from planeworks.sources import planes as P
@@ -128,3 +129,46 @@ def multiset_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{s}', {str(i).lower()})" for m, s, i in registry.METHODS) + ") t(method, scope, implemented)")
 def method_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.methods(spark)
+
+
+#: The overview of the embeddings' plane at 128 cells a side, with its closed foreground (fg), for DuckDB.
+_FG = f"""{E.replace(" AS (", " AS MATERIALIZED (", 1)}, sz AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w, CAST(greatest(1, ceil(greatest(max(y) + 1, max(x) + 1) / 128)) AS BIGINT) AS step FROM e),
+o AS MATERIALIZED (SELECT y // step AS cy, x // step AS cx, v, (h + step - 1) // step AS height, (w + step - 1) // step AS width, step FROM e, sz WHERE y % step = 0 AND x % step = 0),
+q AS (SELECT quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.995) AS high FROM o), g AS MATERIALIZED (SELECT o.*, low, high, CASE WHEN high > low THEN CAST(floor(least(1.0, greatest(0.0, (v - low) / (high - low))) * 255 + 0.5) AS BIGINT) END AS g FROM o, q),
+hi AS (SELECT g, count(*) AS c FROM g WHERE g IS NOT NULL GROUP BY g), ru AS (SELECT g, sum(c) OVER (ORDER BY g) AS a, sum(CAST(g AS DOUBLE) * c) OVER (ORDER BY g) AS m, sum(c) OVER () AS n, sum(CAST(g AS DOUBLE) * c) OVER () AS t FROM hi),
+th AS (SELECT g AS threshold FROM ru WHERE a < n ORDER BY round(pow(t / n * (a / n) - m / n, 2) / ((a / n) * (1 - a / n)), 6) DESC, 1 LIMIT 1),
+f0 AS (SELECT g.*, (SELECT threshold FROM th) AS threshold, CASE WHEN g > (SELECT threshold FROM th) THEN 1 ELSE 0 END AS f FROM g),
+f1 AS (SELECT * EXCLUDE f, max(f) OVER (PARTITION BY cy ORDER BY cx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f FROM f0), f2 AS (SELECT * EXCLUDE f, max(f) OVER (PARTITION BY cx ORDER BY cy ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f FROM f1),
+f3 AS (SELECT * EXCLUDE f, min(f) OVER (PARTITION BY cy ORDER BY cx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f FROM f2), fg AS MATERIALIZED (SELECT * EXCLUDE f, min(f) OVER (PARTITION BY cx ORDER BY cy ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS fg FROM f3),
+px AS MATERIALIZED (SELECT e.y, e.x, e.v, y // 64 AS py, x // 64 AS px, CASE WHEN fg.fg = 1 THEN e.v END AS own FROM e, sz JOIN fg ON fg.cy = e.y // sz.step AND fg.cx = e.x // sz.step),
+lp AS (SELECT *, CAST(lag(own) OVER r + lead(own) OVER r + lag(own) OVER c + lead(own) OVER c - 4 * own AS DOUBLE) AS lap FROM px WINDOW r AS (PARTITION BY py, px, y ORDER BY x), c AS (PARTITION BY py, px, x ORDER BY y)),
+pt AS (SELECT py, px, count(*) AS n, count(own) AS fg_n, var_pop(own) AS variance, count(lap) AS support, avg(lap * lap) AS energy, avg(lap * lap) / nullif(var_pop(own), 0) AS detail FROM lp GROUP BY 1, 2),
+bc AS (SELECT cy, cx, v, fg, low, high, cy * least(8, height) // height AS iy, cx * least(8, width) // width AS ix, height, width FROM fg),
+bd AS (SELECT iy + CASE WHEN (iy + 1) * height // least(8, height) <= cy THEN 1 ELSE 0 END AS ky, ix + CASE WHEN (ix + 1) * width // least(8, width) <= cx THEN 1 ELSE 0 END AS kx, v, fg, low, high FROM bc),
+be AS (SELECT ky, kx, CASE WHEN count(*) FILTER (fg = 0) >= 32 AND count(*) FILTER (fg = 0) / count(*) >= 0.8 THEN quantile_cont(v, 0.5) FILTER (fg = 0) END AS median, any_value(low) AS low, any_value(high) AS high FROM bd GROUP BY 1, 2),
+bs AS (SELECT count(*) AS background_cells, count(median) AS eligible_cells, quantile_cont(median, 0.1) AS p10, quantile_cont(median, 0.9) AS p90, any_value(high - low) AS range FROM be)"""
+
+
+def _plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.embedding_plane(spark, sf_dir).withColumn("plane_id", F.lit("embeddings"))
+
+
+@query(f"WITH {_FG} SELECT py, px, n, fg_n, round(fg_n / n, 6) AS fg_share, round(variance, 3) AS variance, support, round(energy, 3) AS energy, round(detail, 6) AS detail FROM pt")
+def foreground_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _plane(spark, sf_dir)
+    out = U.patch_detail(pixels, U.foreground(U.overview(pixels, 128)), 64).select("py", "px", "n", "fg_n", "fg_share", "variance", "support", "energy", "detail")
+    return rounded(rounded(out, "fg_share", "detail"), "variance", "energy", digits=3)
+
+
+@query(f"""WITH {_FG} SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM pt) AS patches, (SELECT count(detail) FROM pt) AS valid_patches, (SELECT round(quantile_cont(detail, 0.5), 6) FROM pt) AS median_detail,
+(SELECT CAST(sum(fg_n) AS BIGINT) FROM pt) AS foreground, (SELECT round(sum(fg_n) / sum(n), 6) FROM pt) AS foreground_share, (SELECT step FROM sz) AS step, (SELECT threshold FROM th) AS threshold, background_cells, eligible_cells,
+CASE WHEN eligible_cells >= 4 THEN round(p10, 4) END AS p10_median, CASE WHEN eligible_cells >= 4 THEN round(p90, 4) END AS p90_median, CASE WHEN eligible_cells >= 4 THEN round(p90 - p10, 4) END AS span, CASE WHEN eligible_cells >= 4 THEN round((p90 - p10) / nullif(range, 0), 4) END AS span_share FROM bs""")
+def supporting_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = U.supporting_metrics(_plane(spark, sf_dir), 64, 128)
+    named = out.select("n", "patches", "valid_patches", "median_detail", "foreground", "foreground_share", "step", "threshold", "background_cells", "eligible_cells", "p10_median", "p90_median", "span", "span_share")
+    return rounded(rounded(named, "median_detail", "foreground_share"), "p10_median", "p90_median", "span", "span_share", digits=4)
+
+
+@query(f"WITH {E} SELECT y // 4 AS cy, x // 4 AS cx, round(avg(CASE WHEN v >= 12000 THEN 1 ELSE 0 END), 6) AS share, avg(CASE WHEN v >= 12000 THEN 1 ELSE 0 END) >= 0.99 AS inside FROM e GROUP BY ALL")
+def fraction_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(U.fraction_mask(P.embedding_plane(spark, sf_dir), F.col("v") >= 12000, 4), "share")
