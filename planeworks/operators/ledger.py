@@ -87,3 +87,17 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """side, rows that only one side has (as a multiset): empty if and only if the two are equal."""
     cols = a.columns
     return a.exceptAll(b.select(*cols)).withColumn("side", F.lit("left")).unionByName(b.select(*cols).exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def jobs_of(placed: DataFrame, assets: DataFrame, node: int) -> DataFrame:
+    """assets (asset_id) with status: `assigned` where the plan places them on this node, `elsewhere` (with the node that
+    has them), `rejected` (with the reasons), or `unknown`. placed: as place_jobs gives it."""
+    met = assets.select("asset_id").join(placed.select("asset_id", "node", "reasons"), "asset_id", "left")
+    status = F.when(F.col("reasons").isNull(), "unknown").when(F.size("reasons") > 0, "rejected").when(F.col("node") == node, "assigned").otherwise("elsewhere")
+    return met.withColumn("status", status)
+
+
+def largest_support(rows: DataFrame, owners: DataFrame, key: str, value: str) -> DataFrame:
+    """key, support: the greatest value of each owner's rows, 0 where it has none."""
+    best = rows.groupBy(key).agg(F.max(value).alias("support"))
+    return owners.select(key).distinct().join(best, key, "left").select(key, F.coalesce("support", F.lit(0)).alias("support"))

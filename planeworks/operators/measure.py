@@ -15,7 +15,9 @@ from planeworks.functions.policy import reasons
 from planeworks.kernels import detect as K
 from planeworks.kernels.raster import block_mean, disk, erode, gaussian, otsu, step_for
 from planeworks.operators.aggregates import histogram, raw_statistics
-from planeworks.operators.detectors import axial_screen, local_scan, per_plane
+from planeworks.operators.detectors import alternating_bands, axial_screen, band_pairs, local_scan, per_plane
+from planeworks.operators.supporting import supporting_metrics
+from planeworks.sources.tiff import pixels
 
 
 @dataclass(frozen=True)
@@ -148,3 +150,47 @@ def measure(tiles: DataFrame, histograms: DataFrame, local: K.LocalConfig = K.Lo
         (F.col("verified_lines") > 0, "verified_lines"), (F.col("candidates") > 0, "local_candidates"), (F.col("omitted") > 0, "budget_omissions"), (F.col("tiles_scanned").isNull(), "local_scan_unassessed"), (F.col("ceiling_fraction") > 0.01, "saturated_samples")
     )
     return out.withColumn("reasons", why).withColumn("route", F.when(F.size(why) == 0, "routine").otherwise("review")).withColumn("quality_decision", F.lit(None).cast("string"))
+
+
+MODALITIES = ("autofluorescence", "fluorescence")
+
+
+def methods_json(modality: str, **configs) -> str:
+    """What a record was measured with, as canonical JSON; methods that weren't asked for are left out."""
+    if modality not in MODALITIES:
+        raise ValueError(f"modality must be one of {', '.join(MODALITIES)}")
+    return json.dumps({k: {"name": type(c).__name__, **asdict(c)} for k, c in configs.items() if c is not None}, sort_keys=True, separators=(",", ":"))
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """plane_id, all of a plane's rows as one sorted array."""
+    return rows.groupBy("plane_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "plane_id"]))).alias(name))
+
+
+def measurement_record(tiles: DataFrame, files: DataFrame, modality: str = "autofluorescence", brightness: BrightnessConfig = BrightnessConfig(), bands: K.BandConfig | None = None, local: K.LocalConfig | None = None) -> DataFrame:
+    """The whole record of each plane: identity of file, samples, methods and run; supporting metrics; checked lines;
+    brightness patterns; bands and their pairs and the local scan where their settings are given (else null); reasons for a
+    review. files: plane_id, name, file_sha256, pixel_sha256; a plane without a file has no record."""
+    methods = methods_json(modality, brightness=brightness, bands=bands, local=local)
+    shape = tiles.groupBy("plane_id").agg(F.first("height").alias("height"), F.first("width").alias("width"))
+    metrics = supporting_metrics(pixels(tiles))
+    told = metrics.select("plane_id", F.struct(*[c for c in metrics.columns if c not in ("plane_id", "quality_decision")]).alias("metrics"))
+    out = files.select("plane_id", "name", "file_sha256", "pixel_sha256").join(shape, "plane_id").join(told, "plane_id", "left")
+    out = out.join(_gathered(axial_screen(tiles), "lines"), "plane_id", "left").join(_gathered(brightness_patterns(tiles, brightness), "brightness"), "plane_id", "left")
+    kinds = (("bands", bands, alternating_bands), ("pairs", bands, band_pairs), ("local", local, local_scan))
+    for name, config, work in kinds:
+        rows = work(tiles, config or K.BandConfig()) if name != "local" else work(tiles, config or K.LocalConfig())
+        columns = rows.drop("quality_decision")
+        if config is None:
+            out = out.withColumn(name, F.lit(None).cast(_gathered(columns, name).schema[name].dataType))
+        else:
+            out = out.join(_gathered(columns, name), "plane_id", "left").withColumn(name, F.coalesce(name, F.array().cast(_gathered(columns, name).schema[name].dataType)))
+    out = out.withColumn("lines", F.coalesce("lines", F.array().cast(out.schema["lines"].dataType)))
+    found = F.filter("local", lambda x: x["kind"].isNotNull())
+    why = reasons(
+        (F.exists("lines", lambda x: x["unique"]), "verified_lines"), (F.size("pairs") > 0, "band_pairs"), (F.size(found) > 0, "local_candidates"), (F.exists("local", lambda x: x["omitted"] > 0), "budget_omissions"),
+        (F.col("local").isNull(), "local_scan_unassessed"), (F.col("bands").isNull(), "bands_unassessed"), (F.col("metrics.ceiling_fraction") > 0.01, "saturated_samples"),
+    )
+    named = out.withColumn("methods", F.lit(methods)).withColumn("methods_sha256", F.sha2("methods", 256)).withColumn("modality", F.lit(modality))
+    named = named.withColumn("asset_id", F.substring(F.sha2(F.concat_ws(":", "name", "file_sha256"), 256), 1, 16)).withColumn("run_identity", F.sha2(F.concat_ws(":", "file_sha256", "modality", "methods_sha256"), 256))
+    return named.withColumn("reasons", why).withColumn("confirmed_lines", F.size(F.filter("lines", lambda x: x["unique"]))).withColumn("quality_decision", F.lit(None).cast("string"))

@@ -50,6 +50,26 @@ def request_views(requests: DataFrame, sessions: DataFrame, sealed: DataFrame) -
     return named.select("session", "request_id", "seq", "status", "view_id").unionByName(bad)
 
 
+def native_requests(requests: DataFrame, views: DataFrame) -> DataFrame:
+    """Requests in preview coordinates of an earlier view (session, request_id, parent_view, px0, py0, px1, py1) with the
+    box in the plane's own samples that they mean (x0, y0, x1, y1), and status: `ok`, `no_parent` (the session has no such
+    view) or `outside` (not a box within the view's preview). views: session, view_id, x0, y0, x1, y1, step."""
+    owned = views.select("session", F.col("view_id").alias("parent_view"), *[F.col(c).cast("long").alias(f"v{c}") for c in ("x0", "y0", "x1", "y1")], F.col("step").cast("long"))
+    met = requests.join(owned, ["session", "parent_view"], "left")
+    shown = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.col("step"))
+    inside = (F.col("px0") >= 0) & (F.col("py0") >= 0) & (F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1")) & (F.col("px1") <= shown("vx0", "vx1")) & (F.col("py1") <= shown("vy0", "vy1"))
+    status = F.when(F.col("step").isNull(), "no_parent").when(F.coalesce(inside, F.lit(False)), "ok").otherwise("outside")
+    place = lambda p, lo, hi: F.when(status == "ok", F.least(F.col(lo) + F.col(p) * F.col("step"), F.col(hi)))
+    out = met.withColumns({"x0": place("px0", "vx0", "vx1"), "y0": place("py0", "vy0", "vy1"), "x1": place("px1", "vx0", "vx1"), "y1": place("py1", "vy0", "vy1"), "status": status})
+    return out.select("session", "request_id", "parent_view", "x0", "y0", "x1", "y1", "status")
+
+
+def create_assigned(sessions: DataFrame, placed: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
+    """(overview views of the sessions whose asset (asset_id) the plan places on this node, the others with why not)."""
+    told = sessions.join(L.jobs_of(placed, sessions.select("asset_id").distinct(), node).select("asset_id", "status"), "asset_id")
+    return create(told.where("status = 'assigned'").drop("status")), told.where("status <> 'assigned'").select("session", "asset_id", "status")
+
+
 def report_violations(findings: DataFrame, views: DataFrame) -> DataFrame:
     """session, finding_id, violation for findings (session, finding_id, box, evidence, observation, certainty) that name
     missing views, lie in none of them, or claim a verdict."""

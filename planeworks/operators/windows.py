@@ -79,6 +79,13 @@ def laplacian_detail(pixels: DataFrame, size: int, *keys: str) -> DataFrame:
     return out.select(*keys, "py", "px", "n", (F.col("energy") / F.nullif(F.col("variance"), F.lit(0.0))).alias("detail"))
 
 
+def three_rows(pixels: DataFrame, *keys: str, value: str = "v") -> DataFrame:
+    """pixels with m: the mean of each sample and those above and below it; at the edges the one neighbour counts twice."""
+    down = Window.partitionBy(*keys, "x").orderBy("y")
+    up, own, low = F.lag(value).over(down), F.col(value), F.lead(value).over(down)
+    return pixels.withColumn("m", (F.coalesce(up, low, own) + own + F.coalesce(low, up, own)) / 3)
+
+
 def argmax_first(cells: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """key, pos, value of the greatest value; the first position wins ties. One partial aggregate, no sort."""
     best = F.max(F.struct(F.col(value).alias("value"), (-F.col(pos)).alias("neg")))

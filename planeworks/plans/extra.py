@@ -12,6 +12,7 @@ from planeworks.operators import ledger as L
 from planeworks.operators import selection as S
 from planeworks.operators import session
 from planeworks.operators import supporting as U
+from planeworks.operators import windows as W
 from planeworks.plans.boxes import BX
 from planeworks.plans.pixels import E, rounded
 from planeworks.sources import planes as P
@@ -74,12 +75,11 @@ def frame_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "rx", "ry", digits=4)
 
 
-@query(f"""WITH {E}, b AS (SELECT y, x, avg(v) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM e), d AS (SELECT y, x, m - lag(m) OVER (PARTITION BY y ORDER BY x) AS jump FROM b)
+@query(f"""WITH {E}, b AS (SELECT y, x, (coalesce(lag(v) OVER c, lead(v) OVER c, v) + v + coalesce(lead(v) OVER c, lag(v) OVER c, v)) / 3.0 AS m FROM e WINDOW c AS (PARTITION BY x ORDER BY y)), d AS (SELECT y, x, m - lag(m) OVER (PARTITION BY y ORDER BY x) AS jump FROM b)
 SELECT y, round(max(abs(jump)), 4) AS jump, count(*) FILTER (abs(jump) > 3000) AS transitions FROM d GROUP BY y""")
 def row_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    down, along = Window.partitionBy("x").orderBy("y").rowsBetween(-1, 1), Window.partitionBy("y").orderBy("x")
-    blurred = P.embedding_plane(spark, sf_dir).withColumn("m", F.avg("v").over(down))
-    jumps = blurred.withColumn("jump", F.abs(F.col("m") - F.lag("m").over(along)))
+    along = Window.partitionBy("y").orderBy("x")
+    jumps = W.three_rows(P.embedding_plane(spark, sf_dir)).withColumn("jump", F.abs(F.col("m") - F.lag("m").over(along)))
     return rounded(jumps.groupBy("y").agg(F.max("jump").alias("jump"), F.count(F.when(F.col("jump") > 3000, 1)).alias("transitions")), "jump", digits=4)
 
 

@@ -42,9 +42,13 @@ def write_json(path: str | Path, value: object) -> None:
         raise
 
 
-def write_csv(df: DataFrame, folder: str, blank: tuple[str, ...] = ()) -> None:
-    """CSV part files with a header, and empty columns for people to fill in; the folder must not exist."""
-    df.select("*", *[F.lit("").alias(c) for c in blank]).write.option("header", True).option("encoding", "UTF-8").csv(folder)
+def write_csv(df: DataFrame, folder: str, blank: tuple[str, ...] = (), bom: bool = True) -> None:
+    """CSV part files with a header, and empty columns for people to fill in; the folder must not exist. With bom every
+    file begins with the mark that spreadsheets expect: it stands before the first column's name."""
+    out = df.select("*", *[F.lit("").alias(c) for c in blank])
+    if bom:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.option("header", True).option("encoding", "UTF-8").csv(folder)
 
 
 def with_bom(csv_text: str) -> bytes:

@@ -115,3 +115,32 @@ def test_profiles(spark):
     assert all(got[i] == want for i, (_, want) in enumerate(changes)) and "fields" in got[99]
     r = spark.range(1).select(N.blockers(F.lit("ext4"), F.lit("nfs4"), F.lit("/a"), F.lit("/a/b")).alias("b"), N.blockers(F.lit("ext4"), F.lit("xfs"), F.lit("/a"), F.lit("/b")).alias("ok")).first()
     assert r.b == ["work_not_local", "nested_paths"] and r.ok == []
+
+
+def test_preview_coordinates_become_native(spark):
+    views = spark.createDataFrame([(1, "view-000", 100, 50, 1000, 703, 4)], "session long, view_id string, x0 long, y0 long, x1 long, y1 long, step int")
+    asked = spark.createDataFrame([(1, 1, "view-000", 10, 5, 20, 9), (1, 2, "view-000", 200, 160, 225, 164), (1, 3, "view-000", 0, 0, 226, 1), (1, 4, "view-009", 0, 0, 1, 1), (2, 5, "view-000", 0, 0, 1, 1), (1, 6, "view-000", 5, 5, 5, 6)], "session long, request_id long, parent_view string, px0 long, py0 long, px1 long, py1 long")
+    got = {r.request_id: (r.status, r.x0, r.y0, r.x1, r.y1) for r in S.native_requests(asked, views).collect()}
+    none = (None,) * 4
+    assert got == {1: ("ok", 140, 70, 180, 86), 2: ("ok", 900, 690, 1000, 703), 3: ("outside", *none), 4: ("no_parent", *none), 5: ("no_parent", *none), 6: ("outside", *none)}
+
+
+def test_assigned_sessions(spark):
+    from planeworks.operators import ledger as L
+
+    placed = spark.createDataFrame([("a", 0, []), ("b", 1, []), ("c", None, ["path"])], "asset_id string, node long, reasons array<string>")
+    owned = spark.createDataFrame([(k, a, 100, 80, 8, 0, 9) for k, a in enumerate("abcd")], "session long, asset_id string, width int, height int, budget int, window_low int, window_high int")
+    made, refused = S.create_assigned(owned, placed, 0)
+    assert [r.session for r in made.collect()] == [0]
+    assert {r.asset_id: r.status for r in refused.collect()} == {"b": "elsewhere", "c": "rejected", "d": "unknown"}
+    support = L.largest_support(spark.createDataFrame([("a", 3), ("a", 7)], "asset_id string, n long"), placed, "asset_id", "n")
+    assert {r.asset_id: r.support for r in support.collect()} == {"a": 7, "b": 0, "c": 0}
+
+
+def test_csv_begins_with_its_mark(spark, tmp_path):
+    from planeworks.sources import sinks
+
+    sinks.write_csv(spark.createDataFrame([(1, "é")], "a long, b string"), str(tmp_path / "out"), ("note",))
+    files = [p.read_bytes() for p in (tmp_path / "out").glob("part-*.csv")]
+    assert files and all(f.startswith(b"\xef\xbb\xbfa,b,note") for f in files if f)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns[1:] == ["b", "note"]
