@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planeworks.sources.codecs import CodecError, lzw_decode, lzw_encode, packbits_decode, packbits_encode
+
 #: Limits of a plane, tag numbers, types' sizes.
 MAX_PIXELS, MAX_BYTES = 268_435_456, 512 << 20
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
@@ -23,12 +25,24 @@ _CODES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 TILE_SCHEMA = "plane_id string, height int, width int, y0 int, x0 int, h int, w int, data binary"
 
 
+RAW, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+
+
 class BadTiff(ValueError):
     pass
 
 
+def _inflate(raw: bytes, size: int) -> bytes:
+    return zlib.decompressobj().decompress(raw, size)
+
+
+_READERS = {RAW: lambda raw, size: raw, LZW: lzw_decode, DEFLATE: _inflate, DEFLATE_OLD: _inflate, PACKBITS: packbits_decode}
+_WRITERS = {RAW: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, PACKBITS: packbits_encode}
+
+
 def decode(data: bytes, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES) -> np.ndarray:
-    """The plane of a classic or big TIFF: one page, one 16-bit sample, black is zero, top-left, raw or deflate."""
+    """The plane of a classic or big TIFF: one page, one 16-bit sample, black is zero, top-left; raw, PackBits, LZW or
+    deflate segments, with or without horizontal differences."""
     if data[:2] not in (b"II", b"MM") or len(data) < 8:
         raise BadTiff("not a TIFF")
     o = "<" if data[:2] == b"II" else ">"
@@ -62,7 +76,7 @@ def decode(data: bytes, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES
         raise BadTiff("no size")
     if w * h > max_pixels or 2 * w * h > max_bytes:
         raise BadTiff("plane too large")
-    for rule, reason in ((tags.get(258, (1,)) == (16,), "samples are not 16 bits"), (one(277, 1) == 1, "more than one sample"), (one(339, 1) == 1, "samples are not unsigned"), (one(262, -1) == 1, "black is not zero"), (one(274, 1) == 1, "orientation"), (one(259, 1) in (1, 8, 32946), "compression"), (one(317, 1) == 1, "predictor")):
+    for rule, reason in ((tags.get(258, (1,)) == (16,), "samples are not 16 bits"), (one(277, 1) == 1, "more than one sample"), (one(339, 1) == 1, "samples are not unsigned"), (one(262, -1) == 1, "black is not zero"), (one(274, 1) == 1, "orientation"), (one(259, 1) in _READERS, "compression"), (one(317, 1) in (1, 2), "predictor")):
         if not rule:
             raise BadTiff(reason)
     tiled = 324 in tags
@@ -76,22 +90,24 @@ def decode(data: bytes, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES
     for y in range(0, h, th):
         for x in range(0, w, tw):
             rows = th if tiled else min(th, h - y)
-            raw = data[places[k] : places[k] + counts[k]]
-            if one(259, 1) != 1:
-                try:
-                    raw = zlib.decompressobj().decompress(raw, rows * tw * 2)
-                except zlib.error:
-                    raise BadTiff("deflate") from None
+            try:
+                raw = _READERS[one(259, 1)](data[places[k] : places[k] + counts[k]], rows * tw * 2)
+            except (zlib.error, CodecError):
+                raise BadTiff("segment doesn't decode") from None
             if len(raw) < rows * tw * 2:
                 raise BadTiff("segment too short")
-            out[y : y + th, x : x + tw] = np.frombuffer(raw, f"{o}u2", rows * tw).reshape(rows, tw)[: h - y, : w - x]
+            block = np.frombuffer(raw, f"{o}u2", rows * tw).reshape(rows, tw).astype(np.uint16)
+            if one(317, 1) == 2:
+                block = np.add.accumulate(block, axis=1, dtype=np.uint16)
+            out[y : y + th, x : x + tw] = block[: h - y, : w - x]
             k += 1
     return out
 
 
-def encode(plane: np.ndarray, deflate: bool = False, order: str = "<", rows: int = 64, tile: int | None = None) -> bytes:
+def encode(plane: np.ndarray, deflate: bool = False, order: str = "<", rows: int = 64, tile: int | None = None, compression: int | None = None, predictor: int = 1) -> bytes:
     """A classic TIFF of one unsigned 16-bit plane."""
     h, w = plane.shape
+    compression = compression or (DEFLATE if deflate else RAW)
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 0))
     places, counts = [], []
     dy, dx = (tile, tile) if tile else (rows, w)
@@ -100,12 +116,13 @@ def encode(plane: np.ndarray, deflate: bool = False, order: str = "<", rows: int
             block = plane[y : y + dy, x : x + dx]
             if tile:
                 block = np.pad(block, ((0, tile - block.shape[0]), (0, tile - block.shape[1])))
-            raw = block.astype(f"{order}u2").tobytes()
-            raw = zlib.compress(raw) if deflate else raw
+            if predictor == 2:
+                block = np.diff(block.astype(np.uint16), axis=1, prepend=np.zeros((len(block), 1), np.uint16))
+            raw = _WRITERS[compression](block.astype(f"{order}u2").tobytes())
             places.append(len(out))
             counts.append(len(raw))
             out += raw + b"\0" * (len(raw) % 2)
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16]), (259, 3, [8 if deflate else 1]), (262, 3, [1]), (277, 3, [1])]
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16]), (259, 3, [compression]), (262, 3, [1]), (277, 3, [1]), (317, 3, [predictor])]
     tags += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, places), (325, 4, counts)] if tile else [(273, 4, places), (278, 4, [rows]), (279, 4, counts)]
     entries = b""
     for tag, kind, values in sorted(tags):

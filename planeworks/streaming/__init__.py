@@ -35,23 +35,23 @@ def gap_sessions(events: DataFrame, gap: str, watermark: str, key: str = "user_i
 
 
 def settle_stream(requests: DataFrame, budget: int) -> DataFrame:
-    """The ledger's rules on a stream of (session, request_id, args, seq): state a session is its committed requests,
-    at most `budget` of them, and the ids refused for budget."""
+    """The ledger's rules on a stream of (session, request_id, args, seq): state a session is its committed requests, at
+    most `budget` of them. Once they are that many, whatever else is asked for is over budget, so that refused ids need
+    not be kept."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, args = (list(x) for x in state.get) if state.exists else ([], [])
         known = dict(zip(ids, args, strict=True))
-        used = sum(a is not None for a in known.values())
         for frame in frames:
             out = []
             for r in frame.sort_values("seq").itertuples(index=False):
-                if r.request_id not in known:
-                    status = "committed" if used < budget else "over_budget"
-                    known[r.request_id] = r.args if status == "committed" else None
-                    used += status == "committed"
+                if r.request_id in known:
+                    out.append("replayed" if known[r.request_id] == r.args else "conflict")
+                elif len(known) < budget:
+                    known[r.request_id] = r.args
+                    out.append("committed")
                 else:
-                    status = "over_budget" if known[r.request_id] is None else "replayed" if known[r.request_id] == r.args else "conflict"
-                out.append(status)
+                    out.append("over_budget")
             yield frame.sort_values("seq").assign(status=out)[["session", "request_id", "args", "seq", "status"]]
         state.update((list(known), list(known.values())))
 

@@ -16,7 +16,7 @@ def frame(spark, plane, size=64, name="p"):
     return spark.createDataFrame(pd.DataFrame(list(T.cut(name, plane, size))), T.TILE_SCHEMA)
 
 
-@pytest.mark.parametrize("options", [{}, {"deflate": True}, {"order": ">"}, {"tile": 16}, {"tile": 16, "deflate": True, "order": ">"}])
+@pytest.mark.parametrize("options", [{}, {"deflate": True}, {"order": ">"}, {"tile": 16}, {"tile": 16, "deflate": True, "order": ">"}, {"compression": T.LZW}, {"compression": T.PACKBITS, "tile": 16}, {"compression": T.LZW, "predictor": 2, "order": ">"}, {"deflate": True, "predictor": 2, "tile": 16}])
 @pytest.mark.parametrize("shape", [(32, 48), (35, 50), (19, 37)])
 def test_tiff_layouts(shape, options):
     plane = (np.arange(shape[0] * shape[1]) * 17 % 65536).astype(np.uint16).reshape(shape)
