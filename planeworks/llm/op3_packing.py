@@ -97,13 +97,15 @@ def differencing(sizes: np.ndarray, m: int) -> list[np.ndarray]:
             # the next pieces go one by one to the window with the least sum, while this spread is one of the two largest
             least = [(v, k) for v, k in zip(first[2][::-1].tolist(), first[3][::-1].tolist(), strict=True)]
             most = least[-1][0]
-            while at < n and stream[at] >= second and (most - least[0][0] >= second or stream[at] >= most - least[0][0]):
+            own = most - least[0][0]
+            while at < n and stream[at] >= second and (own >= stream[at] or own >= max(second, stream[at + 1] if at + 1 < n else -1)):
                 v, k = least[0]
                 new = len(up)
                 up.append(-1)
                 up[k] = up[by[at]] = new
                 heapq.heapreplace(least, (v + stream[at], new))
                 most = max(most, v + stream[at])
+                own = most - least[0][0]
                 at += 1
             least.sort(reverse=True)
             push(np.array([v for v, _ in least], np.int64), np.array([k for _, k in least], np.int64))

@@ -146,5 +146,32 @@ def test_differencing_keeps_every_piece(m):
     assert max(sums) - min(sums) <= sizes.max()
 
 
+@pytest.mark.parametrize("m", [1, 2, 5])
+def test_differencing_merges_the_largest_spreads(m):
+    """Against dense partial partitions, merged one pair at a time."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = rng.choice(10**6, rng.integers(1, 40), replace=False) + 1  # no two alike, so that nothing is tied at first
+        rows = [sorted([int(s)] + [0] * (m - 1), reverse=True) for s in sizes]
+        while len(rows) > 1:
+            rows.sort(key=lambda r: r[0] - r[-1], reverse=True)
+            a, b = rows[0], rows[1]
+            both = sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True)
+            rows = [[x - both[-1] for x in both], *rows[2:]]
+        sums = sorted((int(sizes[w].sum()) for w in P.differencing(sizes, m)), reverse=True)
+        assert sums[0] - sums[-1] == rows[0][0] - rows[0][-1]
+
+
+def test_very_many_empty_texts():
+    import tracemalloc
+
+    tracemalloc.start()
+    pieces, window = P.pack(np.ones(300_000, np.int64))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(pieces) == 300_000 and np.bincount(window).max() <= 2048 and window[-1] + 1 <= 149
+    assert peak < 250_000_000  # in proportion to the pieces; a sum a window for each would be 700 MB
+
+
 def test_make(spark):
     assert make(spark, [(1, "a")]).count() == 1
