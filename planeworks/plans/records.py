@@ -25,10 +25,11 @@ def query(oracle: str | None = None):
     return add
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 420000)")
 def orphan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, their large orders as the records that name them."""
     files = P.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return L.orphans(files, P.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return L.orphans(files, P.table(spark, sf_dir, "orders").where("o_totalprice > 420000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""SELECT o_orderkey, array_to_string(CASE WHEN c_custkey IS NULL THEN ['missing'] ELSE list_filter([CASE WHEN s.c_nationkey IS DISTINCT FROM CAST(o_orderkey % 25 AS INTEGER) THEN 'c_nationkey' END, CASE WHEN s.c_mktsegment IS DISTINCT FROM (CASE WHEN o_orderkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END) THEN 'c_mktsegment' END], lambda x: x IS NOT NULL) END, ',') AS violations
@@ -117,10 +118,11 @@ def triage_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("doc_id", F.array_join(why, ",").alias("reasons"), F.when(F.size(why) == 0, "routine").otherwise("review").alias("route"), F.lit(None).cast("string").alias("quality_decision"))
 
 
-@query(f"WITH {E} SELECT CAST(0 AS BIGINT) AS different, count(*) AS compared FROM e")
+@query(f"WITH {E} SELECT 2 * count(*) FILTER (y % 97 = 0 AND x = 3) AS different, count(*) AS compared FROM e")
 def equality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane against a copy with some samples changed: each differs on both sides."""
     a = P.embedding_plane(spark, sf_dir)
-    b = P.embedding_plane(spark, sf_dir).select("y", "x", "v").where("v >= 0")
+    b = a.withColumn("v", F.col("v") + F.when((F.col("y") % 97 == 0) & (F.col("x") == 3), 1).otherwise(0))
     n = L.differences(a, b).agg(F.count(F.lit(1)).alias("different"))
     return n.join(a.agg(F.count(F.lit(1)).alias("compared")))
 
