@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeworks.llm.components import connected_components
-from planeworks.llm.text import LOWER_BYTES, SPACE, bounded, id_text, map_slices, shared_dir, words_of
+from planeworks.llm.text import LOWER_BYTES, SPACE, bounded, give_back, id_text, map_slices, shared_dir, words_of
 
 SHINGLE, DISTANCE, PARTS, SEED = 4, 4, 3, 42
 #: Comparisons held at once (about 30 bytes each), and rows (17 bytes each) that a task of comparisons is meant for.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def make():
         return lambda keys, data, offsets: {"doc_id": keys, "fp": pa.array(fingerprints_of(data, offsets, shingle, seed).view(np.int64))}
 
-    return map_slices(id_text(docs, id_col, text_col), make, "doc_id long, fp long", 3 << 20)
+    return map_slices(id_text(docs, id_col, text_col), make, "doc_id long, fp long", 1 << 20)
 
 
 def _codes(most: int) -> tuple[np.ndarray, list[list[list[int]]]]:
@@ -214,6 +214,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, n: int |
 
     def join(table: pa.Table) -> pa.Table:
         a, b = link_within(table["fp"].to_numpy(), table["anchor"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), distance)
+        give_back()
         return pa.table({"a": a, "b": b})
 
     return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long")

@@ -30,7 +30,20 @@ def mapped(data: np.ndarray | bytes, table: np.ndarray | bytes) -> np.ndarray:
 
 
 #: Bytes of text that an operator handles at once in a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system, as workers are kept for other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: only the worker's size depends on it
+        pass
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +81,12 @@ def map_slices(docs: DataFrame, make: Callable[[], Callable], schema: str, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part, data, offsets in slices(batches, most):
-            out = step(part.column(0), data, offsets)
-            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        try:
+            for part, data, offsets in slices(batches, most):
+                out = step(part.column(0), data, offsets)
+                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        finally:
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

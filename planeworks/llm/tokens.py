@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from planeworks.llm.text import LOWER_BYTES, SPACE, dictionary, mapped, row_bytes, runs_of, slices
+from planeworks.llm.text import LOWER_BYTES, SPACE, dictionary, give_back, mapped, row_bytes, runs_of, slices
 
 #: Id that ends a document.
 END = 1
@@ -149,6 +149,7 @@ class Encoder:
                 yield part.column(0), *self.encode(data, offsets)
         finally:
             self.forget()
+            give_back()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
