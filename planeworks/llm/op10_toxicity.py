@@ -10,7 +10,8 @@ The likelihood is penalised by the weights' absolute values, those of a feature
 (twice the gain, between the classes of the sample, over one common document frequency), so that most weights are
 exactly zero. A text moves the likelihood by no more than its share of its class, so a feature whose values, so weighed,
 sum to less than its penalty has zero weights at the optimum: such features stay with the executors. Of the rest, the
-fit grows the set of weights that may differ from zero until no other's slope exceeds its penalty.
+set of features that may have weight grows, beginning with none, until no other feature's slope exceeds its penalty; the
+slopes are sums over the sample's cells, which stay with the executors.
 
 The sample is bounded: at most `per_class` labelled texts a class (a documented parameter), the least by a hash of
 doc_id, so it doesn't depend on the input's order. Everything else covers all rows. The model (the features with
@@ -36,6 +37,8 @@ from planeworks.llm.text import LOWER_BYTES, WORD, bounded, dictionary, id_text,
 PER_CLASS, LEVELS, REJECT, PENALTY = 3000, 3, 0.5, 0.02
 #: Log-likelihood ratio from which on a feature, if toxic texts have it more often, counts for a toxic text's grade.
 ASSOCIATED = 20.0
+#: Features that join the fit at least in a round, those whose slopes exceed their penalties most; it goes on until none does.
+WORKING = 200
 #: Features that are broadcast at most, once counted.
 BROADCAST_ROWS = 200_000
 
@@ -142,34 +145,40 @@ def _descend(theta: np.ndarray, cells: tuple, grade: np.ndarray, weight: np.ndar
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead = new + (pace - 1) / faster * (new - here)
         gained, here, pace, best, bend = best - total, new, faster, total, bend * 0.97
-        if gained < 1e-8 * abs(best):
+        if gained < 1e-7 * abs(best):
             break
     return here
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, penalty: np.ndarray | float = 0.0, levels: int = LEVELS, steps: int = 400, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of the proportional odds model on sparse rows, classes weighing alike, each weight's absolute
-    value penalised by its penalty. Only weights whose slope exceeds their penalty join the fit, until none is left out."""
+def ends_of(grade: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """Parameters of the thresholds (the first, logarithms of the gaps) that suit the grades best without any weights."""
+    below = np.cumsum(np.bincount(grade, class_weights(grade), levels + 1))[:levels].clip(1e-6, 1 - 1e-6)
+    cut = np.log(below / (1 - below))
+    return np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
+
+
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, penalty: np.ndarray | float = 0.0, start: np.ndarray | None = None, levels: int = LEVELS, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, slope of each text's likelihood in its score) of the proportional odds model on sparse rows, classes
+    weighing alike, each weight's absolute value penalised by its penalty. Parameters: `width` weights, then as ends_of()."""
     penalty = np.broadcast_to(np.asarray(penalty, float), (width,))
     weight = class_weights(grade)
-    weights, ends, active = np.zeros(width), np.concatenate([[1.0], np.zeros(levels - 1)]), np.zeros(width, bool)
-    for k in range(rounds):
-        _, slope = likelihood(np.concatenate([weights, ends]), row, col, value, grade, weight, width, levels)
-        late = (np.abs(slope[:width]) > penalty * 1.001) & ~active
-        if k and not late.any():
-            break
-        active |= late
-        own = np.flatnonzero(active)
-        place = np.full(width, -1)
-        place[own] = np.arange(len(own))
-        use = active[col]
-        theta = _descend(np.concatenate([weights[own], ends]), (row[use], place[col[use]], value[use]), grade, weight, penalty[own], levels, steps)
-        weights[own], ends = theta[: len(own)], theta[len(own) :]
-    return weights, ends[0] + np.concatenate([[0.0], np.cumsum(np.exp(ends[1:]))])
+    theta = np.concatenate([np.zeros(width), ends_of(grade, levels)]) if start is None else start
+    theta = _descend(theta, (row, col, value), grade, weight, penalty, levels, steps)
+    # the slope in each text's score is that of a feature which only this text has, with the value 1
+    n = len(grade)
+    own = np.arange(n)
+    shifted = np.concatenate([np.bincount(row, theta[col] * value, n) if len(row) else np.zeros(n), theta[width:]])
+    _, slope = likelihood(shifted, own, own, np.ones(n), grade, weight, n, levels)
+    return theta, slope[:n]
+
+
+def thresholds_of(ends: np.ndarray) -> np.ndarray:
+    return ends[0] + np.concatenate([[0.0], np.cumsum(np.exp(ends[1:]))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, penalty: float = PENALTY) -> Model:
-    """The model from a bounded sample of labelled texts."""
+    """The model from a bounded sample of labelled texts. The driver holds a number a text, and the cells of features that
+    may have weight; slopes of all others are summed by the executors, round by round, until none exceeds its penalty."""
     spark = docs.sparkSession
 
     def kept(table: DataFrame, name: str) -> DataFrame:
@@ -182,47 +191,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = kept(marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(per_class).unionByName(marks.where("toxic = 0").orderBy(by_hash, "doc_id").limit(per_class)), "labelled")
     sample = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
     one = kept(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
-    n = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
-    if len(n) < 2:
+    ids = one.select("doc_id", "toxic").orderBy("doc_id").toArrow()
+    keys, bad = ids["doc_id"].to_pylist(), ids["toxic"].to_numpy() == 1
+    if not bad.any() or bad.all():
         return EMPTY
-    n1, n0 = F.lit(float(n[1])), F.lit(float(n[0]))
-    toxic = one.select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    counted = kept(count_features(one.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")).join(F.broadcast(toxic), "doc_id"), "sample-features")
+    n1, n0 = F.lit(float(bad.sum())), F.lit(float((~bad).sum()))
+    numbered = spark.createDataFrame([(k, i, bool(b)) for i, (k, b) in enumerate(zip(keys, bad, strict=True))], "doc_id long, doc int, toxic boolean")
+    features = count_features(one.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
+    counted = kept(features.join(F.broadcast(numbered), "doc_id").select("feature", "doc", "toxic", "n", "words", F.log1p("n").alias("count"), F.log1p(100 * F.col("n") / F.col("words")).alias("rate")), "sample-features")
     weight = F.when(F.col("toxic"), 0.5 / n1).otherwise(0.5 / n0)
-    by = counted.groupBy("feature").agg(
-        F.count(F.when(F.col("toxic"), 1)).alias("df1"), F.count(F.when(~F.col("toxic"), 1)).alias("df0"),
-        F.sum(weight * F.log1p("n")).alias("counts"), F.sum(weight * F.log1p(100 * F.col("n") / F.col("words"))).alias("rates"),
-    )
+    by = counted.groupBy("feature").agg(F.count(F.when(F.col("toxic"), 1)).alias("df1"), F.count(F.when(~F.col("toxic"), 1)).alias("df0"), F.sum(weight * F.col("count")).alias("counts"), F.sum(weight * F.col("rate")).alias("rates"))
     p1, p0 = F.col("df1") / n1, F.col("df0") / n0
     both = (F.col("df1") + F.col("df0")) / (n1 + n0)
     term = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(0.0)
     gain = 2 * (term(F.col("df1"), p1, both) + term(F.col("df0"), p0, both) + term(n1 - F.col("df1"), 1 - p1, 1 - both) + term(n0 - F.col("df0"), 1 - p0, 1 - both))
     scored = by.withColumn("gain", F.greatest(F.round(gain, 6), F.lit(1e-6)))
-    able = kept(scored.where(F.greatest("counts", "rates") * F.col("gain") > penalty).select("feature", "gain", (p1 > p0).alias("more")), "features")
-    names = able.orderBy("feature").toArrow()
-    if names.num_rows == 0:
-        return EMPTY
-    features, gains, more = names["feature"].to_pylist(), names["gain"].to_numpy(), names["more"].to_numpy()
-    width = len(features)
-    met = counted.select("feature", "doc_id", "toxic", F.col("n").cast("int"), F.col("words").cast("int")).join(bounded(able.select("feature"), BROADCAST_ROWS), "feature").toArrow()
-    found, row = np.unique(met["doc_id"].to_numpy(), return_inverse=True)
-    coded = met["feature"].combine_chunks().dictionary_encode()
-    place = {f: i for i, f in enumerate(features)}
-    col = np.array([place[f] for f in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-    times, words = met["n"].to_numpy().astype(float), met["words"].to_numpy().astype(float)
-    bad = np.zeros(len(found), bool)
-    bad[row] = met["toxic"].to_numpy(zero_copy_only=False)
-    # sampled texts without any of these features are rows of zeros
-    rest = [n[0] - int((~bad).sum()), n[1] - int(bad.sum())]
-    bad = np.concatenate([bad, np.zeros(rest[0], bool), np.ones(rest[1], bool)])
-    strong = more & (gains >= ASSOCIATED)
-    rate = np.bincount(row, np.where(strong[col], times, 0.0) / words * 100, len(bad))
+    able = kept(scored.where(F.greatest("counts", "rates") * F.col("gain") > penalty).select("feature", "gain", ((p1 > p0) & (F.col("gain") >= ASSOCIATED)).alias("strong")), "features")
+    cells = kept(counted.select("feature", "doc", "n", "words", "count", "rate").join(bounded(able, BROADCAST_ROWS), "feature"), "cells")
+    told = cells.where("strong").groupBy("doc").agg((100 * F.sum("n") / F.first("words")).alias("rate")).toArrow()
+    rate = np.zeros(len(bad))
+    rate[told["doc"].to_numpy()] = told["rate"].to_numpy()
     terciles = np.quantile(rate[bad], [1 / 3, 2 / 3])
     grade = np.where(bad, 1 + (rate > terciles[0]) + (rate > terciles[1]), 0)
-    cols, values = values_of(col, times, words, width)
-    weights, thresholds = fit_ordinal(np.tile(row, 2), cols, values, grade, 2 * width, np.tile(penalty / gains, 2))
-    own = np.flatnonzero((weights[:width] != 0) | (weights[width:] != 0))
-    return Model({features[i]: k for k, i in enumerate(own.tolist())}, np.concatenate([weights[own], weights[own + width]]), thresholds)
+
+    names: list[bytes] = []
+    gains = np.zeros(0)
+    row, col, values = np.zeros(0, np.int64), np.zeros(0, np.int64), (np.zeros(0), np.zeros(0))
+    theta = np.concatenate([np.zeros(0), ends_of(grade)])
+    _, slope = fit_ordinal(row, col, values[0], grade, 0, start=theta, steps=0)
+    while True:
+        slopes = spark.createDataFrame(list(enumerate(slope.tolist())), "doc int, slope double")
+        own = spark.createDataFrame([(x,) for x in names], "feature binary")
+        summed = cells.join(F.broadcast(slopes), "doc").groupBy("feature", "gain").agg(F.abs(F.sum(F.col("slope") * F.col("count"))).alias("a"), F.abs(F.sum(F.col("slope") * F.col("rate"))).alias("b"))
+        over = F.greatest("a", "b") * F.col("gain")
+        late = summed.where(over > penalty * 1.001).join(F.broadcast(own), "feature", "left_anti").orderBy(F.desc(over), "feature").limit(max(WORKING, len(names))).select("feature", "gain").toArrow()
+        if late.num_rows == 0:
+            break
+        new = late["feature"].to_pylist()
+        places = spark.createDataFrame([(x, len(names) + i) for i, x in enumerate(new)], "feature binary, col int")
+        met = cells.select("feature", "doc", "count", "rate").join(F.broadcast(places), "feature").select("doc", "col", "count", "rate").toArrow()
+        row, col = np.concatenate([row, met["doc"].to_numpy()]), np.concatenate([col, met["col"].to_numpy()])
+        values = np.concatenate([values[0], met["count"].to_numpy()]), np.concatenate([values[1], met["rate"].to_numpy()])
+        del met
+        old, names, gains = len(names), names + new, np.concatenate([gains, late["gain"].to_numpy()])
+        width, none = len(names), np.zeros(len(new))
+        start = np.concatenate([theta[:old], none, theta[old : 2 * old], none, theta[2 * old :]])
+        theta, slope = fit_ordinal(np.tile(row, 2), np.concatenate([col, col + width]), np.concatenate(values), grade, 2 * width, np.tile(penalty / gains, 2), start)
+    width = len(names)
+    if width == 0:
+        return EMPTY
+    kept_ = np.flatnonzero((theta[:width] != 0) | (theta[width : 2 * width] != 0))
+    return Model({names[i]: k for k, i in enumerate(kept_.tolist())}, np.concatenate([theta[kept_], theta[width + kept_]]), thresholds_of(theta[2 * width :]))
 
 
 def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -423,16 +423,22 @@ def test_slope_and_optimum():
         change = X.likelihood(theta + step, row, col, value, grade, weight, 14)[0] - X.likelihood(theta - step, row, col, value, grade, weight, 14)[0]
         assert abs(change / 2e-5 - slope[k]) < 1e-6
     penalty = np.linspace(0.0, 0.06, 14)
-    w, cut = X.fit_ordinal(row, col, value, grade, 14, penalty, steps=4000)
-    _, slope = X.likelihood(np.concatenate([w, [cut[0]], np.log(np.diff(cut))]), row, col, value, grade, weight, 14)
+    theta, texts = X.fit_ordinal(row, col, value, grade, 14, penalty, steps=4000)
+    w = theta[:14]
+    _, slope = X.likelihood(theta, row, col, value, grade, weight, 14)
+    assert np.allclose(np.bincount(col, texts[row] * value, 14), slope[:14])
     assert (np.abs(slope[:14][w == 0]) <= penalty[w == 0] * 1.01 + 1e-6).all() and (w == 0).any() and (w != 0).any()
     assert np.allclose(slope[:14][w != 0], -np.sign(w[w != 0]) * penalty[w != 0], atol=2e-3) and np.allclose(slope[14:], 0, atol=2e-3)
+    # without weights, the thresholds of ends_of are the best
+    _, slope = X.likelihood(np.concatenate([np.zeros(14), X.ends_of(grade)]), row, col, value, grade, weight, 14)
+    assert np.allclose(slope[14:], 0, atol=1e-9)
 
 
 def test_ordinal_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=600)
     grade = np.digitize(x + rng.normal(scale=0.3, size=600), [0, 0.7, 1.4])
-    w, cut = X.fit_ordinal(np.arange(600), np.zeros(600, int), x, grade, 1)
+    theta, _ = X.fit_ordinal(np.arange(600), np.zeros(600, int), x, grade, 1)
+    w, cut = theta[:1], X.thresholds_of(theta[1:])
     p = X.Model({}, w, cut).chances(x * w[0])
     assert w[0] > 0 and (np.diff(cut) > 0).all() and np.corrcoef(p.sum(axis=1), grade)[0, 1] > 0.85
