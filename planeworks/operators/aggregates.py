@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planeworks.sources.shared import bounded, kept
+
+#: Keys up to which a table of a row a key is broadcast, and ranks that a sketch tells apart.
+FEW = 10_000
+ACCURACY = 10_000
+
 
 def histogram(pixels: DataFrame, *keys: str) -> DataFrame:
     """keys, v, cnt: sparse, exact, merged from partial counts."""
@@ -133,10 +142,57 @@ def union_area(boxes: DataFrame, *keys: str, step: int = 64) -> DataFrame:
     return tops.withColumn("fresh", fresh * F.col("w")).groupBy(*keys).agg(F.sum("fresh").alias("area"))
 
 
+def _between(place: Column, lower: Column, higher: Column) -> Column:
+    """The value at a place between two ranks, as F.percentile has it."""
+    return F.when(lower == higher, lower).otherwise((F.ceil(place) - place) * lower + (place - F.floor(place)) * higher)
+
+
+def _ordered_percentile(values: DataFrame, keys: list[str], name: str, places: DataFrame) -> DataFrame:
+    """keys, all: the value at each key's place (from 0), by ordering all distinct values of the key."""
+    counted = values.where(F.col(name).isNotNull()).join(places, keys).groupBy(*keys, "place", F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    run = F.sum("cnt").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = lambda rank: F.min(F.when(F.col("run") > rank("place"), F.col("v")))
+    return counted.withColumn("run", run).groupBy(*keys, "place").agg(at(F.floor).alias("a"), at(F.ceil).alias("b")).select(*keys, _between(F.col("place"), F.col("a"), F.col("b")).alias("all"))
+
+
+def percentiles(points: DataFrame, keys: list[str], **wanted: tuple[Column, float]) -> DataFrame:
+    """keys (not null) and a column name for each name=(value, share): the exact percentile, null for a key without
+    values. F.percentile holds all distinct values of a key in one task; here a sketch of bounded size gives two values
+    around the place, rows below and at each are counted, and only those strictly between are collected: at most some 6 in
+    `ACCURACY`, since equal values don't add to them. Where the counts tell that a sketch missed the place, the key's
+    rows are ordered."""
+    values = points.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).select(*keys, *[value.cast("double").alias(name) for name, (value, _) in wanted.items()])
+    ends = lambda q: F.array(*[F.lit(min(1.0, max(0.0, q + d / ACCURACY))) for d in (-2, 2)])
+    sketch = [c for name, (_, q) in wanted.items() for c in (F.count(name).alias(f"{name}_n"), F.percentile_approx(name, ends(q), ACCURACY).alias(f"{name}_e"))]
+    found = kept(values.groupBy(*keys).agg(*sketch), "brackets")  # kept, since another run of a sketch may give other ends
+    brackets = bounded(found.select(*keys, *[F.get(f"{name}_e", F.lit(i)).alias(f"{name}_{end}") for name in wanted for i, end in enumerate(("low", "high"))]), FEW)
+    counts = []
+    for name in wanted:
+        v, low, high = F.col(name), F.col(f"{name}_low"), F.col(f"{name}_high")
+        counts += [F.count(F.when(rule, 1)).alias(f"{name}_{k}") for k, rule in {"lt_low": v < low, "le_low": v <= low, "lt_high": v < high, "le_high": v <= high}.items()]
+        counts.append(F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"{name}_inside"))
+    told = kept(values.join(brackets, keys).groupBy(*keys).agg(*counts).join(found, keys), "ranks")
+    out = told.select(keys)
+    for name, (_, q) in wanted.items():
+        c = lambda k, name=name: F.col(f"{name}_{k}")
+        place = (c("n") - 1) * F.lit(q)
+        at = lambda rank, c=c: F.when(rank < c("le_low"), c("e")[0]).when(rank < c("lt_high"), F.get(c("inside"), (rank - c("le_low")).cast("int"))).otherwise(c("e")[1])
+        met = (c("lt_low") <= F.floor(place)) & (c("le_high") > F.ceil(place))
+        one = told.where(met).select(*keys, _between(place, at(F.floor(place)), at(F.ceil(place))).alias(name))
+        missed = told.where(~met & (c("n") > 0)).select(*keys, place.alias("place"))
+        if not missed.isEmpty():
+            one = one.unionByName(_ordered_percentile(values, keys, name, bounded(missed, FEW)).withColumnRenamed("all", name))
+        out = out.join(one, keys, "left")
+    return out
+
+
 def line_fit(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """keys, n, slope, intercept, p90_abs (90th percentile of the absolute residuals), mad (median absolute deviation of
     the residuals about their median)."""
-    line = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
-    res = points.join(line, list(keys)).withColumn("res", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    middle = res.groupBy(*keys).agg(F.percentile("res", F.lit(0.5)).alias("middle"))
-    return res.join(middle, list(keys)).groupBy(*keys, "n", "slope", "intercept").agg(F.percentile(F.abs("res"), F.lit(0.9)).alias("p90_abs"), F.percentile(F.abs(F.col("res") - F.col("middle")), F.lit(0.5)).alias("mad"))
+    on = list(keys)
+    fit = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
+    line = bounded(kept(fit, "line"), FEW)  # kept, since another order of sums would move the residuals
+    res = points.join(line, on).select(*keys, (F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")).alias("res"))
+    ends = bounded(kept(percentiles(res, on, middle=(F.col("res"), 0.5), p90_abs=(F.abs("res"), 0.9)), "ends"), FEW)
+    mad = percentiles(res.join(ends, on), on, mad=(F.abs(F.col("res") - F.col("middle")), 0.5))
+    return line.join(ends.drop("middle"), on).join(mad, on)

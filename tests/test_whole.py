@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from planeworks import plans
+from planeworks.operators import aggregates as A
 from planeworks.operators import spatial as X
 from test_queries import ordered
 
@@ -67,3 +68,27 @@ def test_tall_planes_are_whole(spark, tmp_path):
     assert {r.region: (r.pixels, r.total) for r in plans.QUERIES["region_intensity"](spark, str(tmp_path)).collect()} == {k: (n, n * 30000) for k, n in want.items()}
     inside = (x >= 8) & (y >= 8) & (x <= 56) & (y <= height - 8) & (((x - 32) / 32) ** 2 + ((y - height / 2) / (height / 2)) ** 2 <= 0.7**2)
     assert plans.QUERIES["frame_points"](spark, str(tmp_path)).where("central").count() == inside.sum()
+
+
+@pytest.mark.parametrize("missed", [False, True])
+def test_residuals_are_ranked_without_holding_a_key(spark, monkeypatch, missed):
+    """Percentiles of residuals against numpy, also where the sketch's bracket misses; no aggregate holds a key's values."""
+    rng = np.random.default_rng(5)
+    x, noise = rng.integers(0, 50, 900).astype(float), np.concatenate([rng.normal(size=500), np.repeat([0.25, 1e6], 200)])
+    rows = [("ab"[i % 2], float(u), float(3 * u + e)) for i, (u, e) in enumerate(zip(x, noise))]
+    odd = [("one", 1.0, 2.0), ("same", 4.0, 1.0), ("same", 4.0, 9.0), ("nan", 1.0, float("nan")), ("nan", 2.0, 1.0), (None, 1.0, 1.0), ("a", None, 7.0), ("b", 3.0, None)]
+    points = spark.createDataFrame(rows + odd, "k string, x double, y double")
+    if missed:
+        monkeypatch.setattr(A.F, "percentile_approx", lambda c, *_: A.F.array(A.F.min(c), A.F.min(c)))
+    out = A.line_fit(points, "x", "y", "k")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {"a", "b", "one", "same", "nan"} and out.columns == ["k", "n", "slope", "intercept", "p90_abs", "mad"]
+    for k in "ab":
+        u, v = (np.array([r[j] for r in rows if r[0] == k]) for j in (1, 2))
+        slope, intercept = np.polyfit(u, v, 1)
+        res = v - slope * u - intercept
+        assert got[k].n == len(u) + 1 and np.allclose(got[k][2:], [slope, intercept, np.quantile(abs(res), 0.9), np.median(abs(res - np.median(res)))], rtol=1e-7)
+    assert all(got[k].slope is None and got[k].p90_abs is None and got[k].mad is None for k in ("one", "same"))
+    assert np.isnan([got["nan"].p90_abs, got["nan"].mad]).all()
