@@ -9,6 +9,10 @@ from planeworks.functions import boxes as B
 from planeworks.functions.policy import SCOPES, scope
 from planeworks.operators.aggregates import union_area
 
+#: Sectors of angles are so many times as wide as the angle of a pair at least: a sixth of the bands at most is copied if
+#: angles are even.
+SECTOR = 6
+
 
 def anchors(length: Column, size: int, stride: int) -> Column:
     """Starts of tiles along an axis: multiples of the stride, the last one held at the far edge."""
@@ -81,19 +85,29 @@ def region_intensity(pixels: DataFrame, labels: DataFrame, step: int, regions: d
 
 def parallel_pairs(bands: DataFrame, key: str, angle: float = 3.0, overlap: float = 0.5) -> DataFrame:
     """a, b, spacing: pairs (a < b) within a key with near angles, overlapping spans and a spacing over the sum of the
-    widths, however far apart. bands: key, id, angle, s0, s1, normal, width. Angles are dealt into cells wider than
-    `angle` around the half turn, so only bands of neighbouring cells meet."""
-    n = max(1, int(180 / max(angle, 1)) - 1)
-    cell = F.least(F.lit(n - 1), F.floor(F.pmod(F.col("angle"), F.lit(180.0)) * n / 180))
-    a = bands.withColumn("cell", cell)
-    b = bands.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell + d, F.lit(n)) for d in (-1, 0, 1)]))))
-    left, right = a.alias("l"), b.alias("r")
-    spacing = F.abs(F.col("l.normal") - F.col("r.normal"))
+    widths, however far apart. bands: key, id, angle, s0, s1, normal, width. The half turn is dealt into sectors at least
+    `SECTOR` times as wide as `angle`; a band within `angle` of its sector's upper end visits the next one too, and two
+    visitors don't meet, so each pair meets once. Both sides are the same rows, which cross one exchange; a broadcast
+    would leave all pairs to the few tasks that read the table. Bands meet in order of angle and place, so that the
+    partners of one band are much like the last one's, and files of pairs are smaller."""
+    n = max(1, int(180 / (SECTOR * max(angle, 1))))
+    turn = F.pmod(F.col("angle"), F.lit(180.0))
+    home = F.least(F.lit(n - 1), F.floor(turn * n / 180)).cast("int")
+    near_end = turn >= (home + 1) * (180 / n) - angle - 1e-6  # a visit too many does no harm
+    at = lambda sector, visit: F.struct(sector.alias("sector"), F.lit(visit).alias("visit"))
+    sectors = F.array(at(home, False)) if n == 1 else F.when(near_end, F.array(at(home, False), at(F.pmod(home + 1, F.lit(n)), True))).otherwise(F.array(at(home, False)))
+    dealt = bands.select(key, "id", "angle", "s0", "s1", "normal", "width", F.inline(sectors))
+    place = F.row_number().over(Window.partitionBy(key, "sector").orderBy("angle", "s0", "s1"))
+    # every row has a place > 0: the window stands for a sort, which Spark drops below a join
+    ordered = dealt.withColumn("place", place).where("place > 0").drop("place").withColumn("turn", turn)
+    left, right = ordered.alias("l"), ordered.alias("r").hint("merge")
+    spacing, apart = F.abs(F.col("l.normal") - F.col("r.normal")), F.abs(F.col("l.turn") - F.col("r.turn"))
     rule = (
-        (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id"))
-        & (B.angle_distance(F.col("l.angle"), F.col("r.angle")) <= angle)
-        & (B.overlap_fraction(F.col("l.s0"), F.col("l.s1"), F.col("r.s0"), F.col("r.s1")) >= overlap)
+        (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.sector") == F.col("r.sector")) & (F.col("l.id") < F.col("r.id")) & ~(F.col("l.visit") & F.col("r.visit"))
+        & ((apart <= angle + 1e-6) | (apart >= 180 - angle - 1e-6))  # cheap, keeps all that the distance below does
         & (spacing > F.col("l.width") + F.col("r.width"))
+        & (B.overlap_fraction(F.col("l.s0"), F.col("l.s1"), F.col("r.s0"), F.col("r.s1")) >= overlap)
+        & (B.angle_distance(F.col("l.angle"), F.col("r.angle")) <= angle)
     )
     return left.join(right, rule).select(F.col(f"l.{key}"), F.col("l.id").alias("a"), F.col("r.id").alias("b"), spacing.alias("spacing"))
 

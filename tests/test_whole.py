@@ -43,6 +43,31 @@ def test_pairs_have_no_upper_spacing(spark):
         assert len(got) == len(set(got)) and (set(got) == want if angle == 3 else set(got) > want)
 
 
+def exchanges(spark, df):
+    """Exchanges that are not reused, and broadcasts, in the plan without adaptive execution, where reuse shows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return plan.count(" Exchange ") - plan.count("ReusedExchange "), plan.count("Broadcast")
+
+
+def test_bands_cross_one_exchange_and_pairs_none(spark, small):
+    assert exchanges(spark, plans.QUERIES["parallel_pairs"](spark, small)) == (1, 0)
+
+
+@pytest.mark.parametrize("angle", [1.0, 2.0, 3.0, 7.5, 14.0, 16.0, 29.0])
+def test_pairs_meet_once_across_sectors(spark, angle):
+    """Bands of the whole turn and around the sectors' ends, for widths of one to thirty sectors."""
+    n = max(1, int(180 / (X.SECTOR * angle)))
+    edges = [round(k * 180 / n + d, 6) for k in range(-1, n + 1) for d in (-angle, -angle / 2, 0.0, angle / 2, angle, angle + 0.25)]
+    rows = [(1, i, float(t), 0, 50, i * 10, 1) for i, t in enumerate(edges[:60] + edges[-60:])]
+    got = [(r.a, r.b) for r in X.parallel_pairs(spark.createDataFrame(rows, "g long, id long, angle double, s0 long, s1 long, normal long, width long"), "g", angle).collect()]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and abs((a[2] - b[2] + 90) % 180 - 90) <= angle}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("name", ["parallel_pairs", "straight_pairs"])
 def test_pair_queries_are_whole(spark, duck, small, name):
     same_as_whole_sql(spark, duck, small, name, " AND abs(a.normal - b.normal) <= 100")
