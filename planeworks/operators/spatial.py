@@ -112,10 +112,10 @@ def parallel_pairs(bands: DataFrame, key: str, angle: float = 3.0, overlap: floa
     return left.join(right, rule).select(F.col(f"l.{key}"), F.col("l.id").alias("a"), F.col("r.id").alias("b"), spacing.alias("spacing"))
 
 
-def straight_pairs(pairs: DataFrame, straight: DataFrame) -> DataFrame:
-    """Pairs whose both bands are straight (column id)."""
-    one = straight.select(F.col("id").alias("a"))
-    return pairs.join(one, "a", "left_semi").join(one.withColumnRenamed("a", "b"), "b", "left_semi")
+def straight_pairs(bands: DataFrame, straight: Column, key: str, angle: float = 3.0, overlap: float = 0.5) -> DataFrame:
+    """parallel_pairs whose both bands are straight (a rule on a band): bands are sifted before they are paired, so that no
+    pair crosses an exchange, of which there are far more than bands."""
+    return parallel_pairs(bands.where(straight), key, angle, overlap)
 
 
 def coverage(views: DataFrame, target: Column, *keys: str) -> DataFrame:

@@ -165,8 +165,7 @@ def parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIRS + " SELECT * FROM pr WHERE a % 3 <> 0 AND b % 3 <> 0")
 def straight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = _bands(spark, sf_dir)
-    return X.straight_pairs(X.parallel_pairs(bands, "grp"), bands.where("id % 3 <> 0")).select("grp", "a", "b", "spacing")
+    return X.straight_pairs(_bands(spark, sf_dir), F.col("id") % 3 != 0, "grp")
 
 
 _LINES = """l AS (SELECT grp, id, pos, s, e, row_number() OVER (PARTITION BY grp ORDER BY e - s DESC, pos, s, id) AS r FROM (SELECT l_suppkey AS grp, l_orderkey * 8 + l_linenumber AS id, l_partkey % 300 * 2 AS pos, l_suppkey % 90 + l_orderkey % 50 AS s, l_suppkey % 90 + l_orderkey % 50 + 1 + l_linenumber * 3 AS e FROM lineitem)),

@@ -53,8 +53,9 @@ def exchanges(spark, df):
     return plan.count(" Exchange ") - plan.count("ReusedExchange "), plan.count("Broadcast")
 
 
-def test_bands_cross_one_exchange_and_pairs_none(spark, small):
-    assert exchanges(spark, plans.QUERIES["parallel_pairs"](spark, small)) == (1, 0)
+@pytest.mark.parametrize("name", ["parallel_pairs", "straight_pairs"])
+def test_bands_cross_one_exchange_and_pairs_none(spark, small, name):
+    assert exchanges(spark, plans.QUERIES[name](spark, small)) == (1, 0)
 
 
 @pytest.mark.parametrize("angle", [1.0, 2.0, 3.0, 7.5, 14.0, 16.0, 29.0])
