@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planeworks.sources.shared import bounded, kept
 
-#: Keys up to which a table of a row a key is broadcast, and ranks that a sketch tells apart.
+#: Keys up to which a table of a row a key is broadcast, and shares of a key's rows that a sketch tells apart.
 FEW = 10_000
 ACCURACY = 10_000
 
@@ -155,24 +152,27 @@ def _ordered_percentile(values: DataFrame, keys: list[str], name: str, places: D
     return counted.withColumn("run", run).groupBy(*keys, "place").agg(at(F.floor).alias("a"), at(F.ceil).alias("b")).select(*keys, _between(F.col("place"), F.col("a"), F.col("b")).alias("all"))
 
 
-def percentiles(points: DataFrame, keys: list[str], **wanted: tuple[Column, float]) -> DataFrame:
-    """keys (not null) and a column name for each name=(value, share): the exact percentile, null for a key without
-    values. F.percentile holds all distinct values of a key in one task; here a sketch of bounded size gives two values
-    around the place, rows below and at each are counted, and only those strictly between are collected: at most some 6 in
-    `ACCURACY`, since equal values don't add to them. Where the counts tell that a sketch missed the place, the key's
-    rows are ordered."""
-    values = points.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).select(*keys, *[value.cast("double").alias(name) for name, (value, _) in wanted.items()])
+def percentiles(points: DataFrame, known: DataFrame, keys: list[str], **wanted: tuple[Column, float]) -> DataFrame:
+    """keys (not null), the other columns of `known` (a kept row a key) and a column name for each name=(value, share), a
+    value being of columns of both: the exact percentile, null for a key without values. F.percentile holds all distinct
+    values of a key in one task; here a sketch of bounded size gives two values around the place, rows below and at each
+    are counted, and only those strictly between are collected: at most some 6 in `ACCURACY`, since equal values don't add
+    to them. Where the counts tell that a sketch missed the place, the key's rows are ordered."""
+    exprs = [value.cast("double").alias(name) for name, (value, _) in wanted.items()]
+    values = points.join(bounded(known, FEW), keys).select(*keys, *exprs)
     ends = lambda q: F.array(*[F.lit(min(1.0, max(0.0, q + d / ACCURACY))) for d in (-2, 2)])
     sketch = [c for name, (_, q) in wanted.items() for c in (F.count(name).alias(f"{name}_n"), F.percentile_approx(name, ends(q), ACCURACY).alias(f"{name}_e"))]
-    found = kept(values.groupBy(*keys).agg(*sketch), "brackets")  # kept, since another run of a sketch may give other ends
-    brackets = bounded(found.select(*keys, *[F.get(f"{name}_e", F.lit(i)).alias(f"{name}_{end}") for name in wanted for i, end in enumerate(("low", "high"))]), FEW)
+    found = kept(values.groupBy(*keys).agg(*sketch).join(known, keys), "brackets")  # kept, since another run of a sketch may give other ends
+    ends_of = [(name, i, end) for name in wanted for i, end in enumerate(("low", "high"))]
+    brackets = bounded(found.select(*known.columns, *[F.get(f"{name}_e", F.lit(i)).alias(f"{name}_{end}") for name, i, end in ends_of]), FEW)
+    met_values = points.join(brackets, keys).select(*keys, *exprs, *[f"{name}_{end}" for name, _, end in ends_of])
     counts = []
     for name in wanted:
         v, low, high = F.col(name), F.col(f"{name}_low"), F.col(f"{name}_high")
         counts += [F.count(F.when(rule, 1)).alias(f"{name}_{k}") for k, rule in {"lt_low": v < low, "le_low": v <= low, "lt_high": v < high, "le_high": v <= high}.items()]
         counts.append(F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"{name}_inside"))
-    told = kept(values.join(brackets, keys).groupBy(*keys).agg(*counts).join(found, keys), "ranks")
-    out = told.select(keys)
+    told = kept(met_values.groupBy(*keys).agg(*counts).join(found, keys), "ranks")
+    out = told.select(*known.columns)
     for name, (_, q) in wanted.items():
         c = lambda k, name=name: F.col(f"{name}_{k}")
         place = (c("n") - 1) * F.lit(q)
@@ -191,8 +191,7 @@ def line_fit(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     the residuals about their median)."""
     on = list(keys)
     fit = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
-    line = bounded(kept(fit, "line"), FEW)  # kept, since another order of sums would move the residuals
-    res = points.join(line, on).select(*keys, (F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")).alias("res"))
-    ends = bounded(kept(percentiles(res, on, middle=(F.col("res"), 0.5), p90_abs=(F.abs("res"), 0.9)), "ends"), FEW)
-    mad = percentiles(res.join(ends, on), on, mad=(F.abs(F.col("res") - F.col("middle")), 0.5))
-    return line.join(ends.drop("middle"), on).join(mad, on)
+    line = kept(fit, "line")  # kept, since another order of sums would move the residuals
+    res = F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")
+    ends = kept(percentiles(points, line, on, middle=(res, 0.5), p90_abs=(F.abs(res), 0.9)), "ends")
+    return percentiles(points, ends, on, mad=(F.abs(res - F.col("middle")), 0.5)).select(*keys, "n", "slope", "intercept", "p90_abs", "mad")
